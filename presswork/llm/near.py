@@ -92,8 +92,9 @@ def near_classes(docs: DataFrame, scheme: Scheme) -> DataFrame:
     """One row per row of ``docs``: its place ``_near_row``, doc_id, class_id (the least doc_id of the
     class), class_rows, and kept (true for one row of the class, with that doc_id). Null ids are less than others."""
     nodes, rows = _nodes(docs, scheme)
-    links = near_links(docs, scheme, nodes)
-    labels = components(links)
+    one, labels, two = _rounds(docs, scheme, nodes)
+    # the stars of round one and the links of round two
+    labels = components(labels.where("node != label").select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(two.select("a", "b")))
     own = nodes.select("node", F.col("first.doc_id").alias("d"), "copies")
     full = own.join(labels, "node", "left").withColumn("class", F.coalesce("label", "node"))
     classes = full.groupBy("class").agg(F.min(F.struct("d", "node")).alias("best"), F.sum("copies").alias("class_rows"))
@@ -113,10 +114,15 @@ def _nodes(docs: DataFrame, scheme: Scheme) -> tuple[DataFrame, DataFrame]:
     return stash(firsts.join(rest, "node"), "nodes"), rows
 
 
-def near_links(docs: DataFrame, scheme: Scheme, nodes: DataFrame | None = None) -> DataFrame:
+def near_links(docs: DataFrame, scheme: Scheme) -> DataFrame:
     """Verified links (a, b, jaccard) between nodes, enough of them that every pair at or over the
     threshold that shares a band is in one component."""
-    nodes = _nodes(docs, scheme)[0] if nodes is None else nodes
+    one, _, two = _rounds(docs, scheme, _nodes(docs, scheme)[0])
+    return one.unionByName(two)
+
+
+def _rounds(docs: DataFrame, scheme: Scheme, nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The links of round one, their components' labels, and the links of round two."""
     texts = docs.select(F.monotonically_increasing_id().alias("node"), "text")
     buckets = nodes.select("node", "size", F.explode("bands").alias("key"))
     leads = buckets.groupBy("key").agg(F.min(F.struct("node", "size")).alias("lead"), F.count("*").alias("m")).where("m > 1")
@@ -149,7 +155,7 @@ def near_links(docs: DataFrame, scheme: Scheme, nodes: DataFrame | None = None)
         .mapInArrow(_compare(scheme), "a long, b long")
     )
     two = stash(_verified(compared.distinct(), texts, scheme), "links")
-    return one.unionByName(two)
+    return one, labels, two
 
 
 def _plausible(pairs: DataFrame, nodes: DataFrame, scheme: Scheme) -> DataFrame:
