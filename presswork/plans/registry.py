@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import core, domains
+
+QUERIES = core.QUERIES | domains.QUERIES
+ORACLES = core.ORACLES | domains.ORACLES
