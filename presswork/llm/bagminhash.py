@@ -54,7 +54,7 @@ def bag_sketch(x: np.ndarray, w: np.ndarray, n: np.ndarray, m: int = BANDS * ROW
         lim, rate, sd = limit[owner[at[live]]], size[live], seed[live]
         lo, wt, own = low[live], w[at[live]].astype(np.float64), owner[at[live]]
         while len(t):
-            h = mix(sd + np.uint64(0xD1B54A32D192ED03) * np.uint64(k + 1))
+            h = mix(sd + np.uint64(0xD1B54A32D192ED03 * (k + 1) & 0xFFFFFFFFFFFFFFFF))
             t = t - np.log(((h >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) / rate
             on = t < lim
             if not on.all():

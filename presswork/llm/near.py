@@ -25,12 +25,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import by_slices, list_array, pa_schema, slices, stash
 from .shingles import bags, likeness, mix
 
 BLOCK_NODES, CHUNK_NODES = 128, 2000
+#: Rows of (block, node), 16 bytes each, up to which they are broadcast to the texts; beyond, both are shuffled.
+BROADCAST_ROWS = 400_000
+#: Bytes of text that are sketched together; a sketch takes some thirty times that for the moment.
+SKETCHED = 1 << 20
 #: Standard deviations of the signature's estimate below the threshold at which a candidate is left.
 SIGMAS = 4.5
 ROW = "_near_row"
@@ -106,7 +109,7 @@ def near_classes(docs: DataFrame, scheme: Scheme) -> DataFrame:
 
 def _nodes(docs: DataFrame, scheme: Scheme) -> tuple[DataFrame, DataFrame]:
     narrow = docs.select(F.monotonically_increasing_id().alias(ROW), docs["doc_id"].cast("long").alias("doc_id"), "text")
-    signed = stash(by_slices(narrow, _signed(scheme), _SIGNED), "signed")
+    signed = stash(by_slices(narrow, _signed(scheme), _SIGNED, budget=SKETCHED), "signed")
     rows = signed.select("row", "doc_id", "b1", "b2")
     grouped = rows.groupBy("b1", "b2").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.count("*").alias("copies"))
     firsts = grouped.select("b1", "b2", "first", "copies", F.col("first.row").alias("node"))
@@ -126,8 +129,10 @@ def _rounds(docs: DataFrame, scheme: Scheme, nodes: DataFrame) -> tuple[DataFram
     texts = docs.select(F.monotonically_increasing_id().alias("node"), "text")
     buckets = nodes.select("node", "size", F.explode("bands").alias("key"))
     leads = buckets.groupBy("key").agg(F.min(F.struct("node", "size")).alias("lead"), F.count("*").alias("m")).where("m > 1")
+    # the seats of buckets with more than one node, usually the lesser part, serve both rounds
+    shared = stash(buckets.join(leads, "key").select("key", "node", "size", "lead", "m"), "shared")
     pairs = (
-        buckets.join(leads, "key").where("node != lead.node")
+        shared.where("node != lead.node")
         .where(F.least("size", "lead.size") >= scheme.threshold * F.greatest("size", "lead.size"))
         .select(F.col("lead.node").alias("a"), F.col("node").alias("b")).distinct()
     )
@@ -135,9 +140,9 @@ def _rounds(docs: DataFrame, scheme: Scheme, nodes: DataFrame) -> tuple[DataFram
     labels = stash(components(one), "labels")
 
     # round two: buckets with more than one component
-    placed = buckets.join(labels, "node", "left").withColumn("comp", F.coalesce("label", "node")).drop("label")
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo != hi")
-    inside = placed.join(mixed.select("key", "m"), "key")
+    placed = shared.join(labels, "node", "left").withColumn("comp", F.coalesce("label", "node")).drop("label")
+    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi")
+    inside = stash(placed.join(mixed.select("key"), "key").select("key", "node", "size", "comp", "m"), "mixed")
     by_comp = inside.groupBy("key", "comp").agg(F.count("*").alias("c"))
     major = by_comp.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("top")).select("key", F.col("top.comp").alias("major"))
     chunks = F.ceil(F.col("m") / CHUNK_NODES).cast("int")
@@ -222,14 +227,17 @@ def _compare(scheme: Scheme) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
 def _verified(pairs: DataFrame, texts: DataFrame, scheme: Scheme) -> DataFrame:
     """Pairs at or over the threshold, computed on the texts' bags. The nodes ``b`` of one least
     partner form a family, cut into blocks; a block gets each text that it needs once."""
+    pairs = stash(pairs, "pairs")
     fam = pairs.groupBy("b").agg(F.min("a").alias("family"), F.count("*").alias("k"))
     crowd = fam.groupBy("family").agg(F.sum("k").alias("n"))
     home = fam.join(crowd, "family").select(
         "b", F.xxhash64("family", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / BLOCK_NODES))).alias("block")
     )
     sent = pairs.join(home, "b").select("block", "a", "b")
-    wanted = sent.select("block", F.col("b").alias("node")).unionByName(sent.select("block", F.col("a").alias("node"))).distinct()
-    bodies = wanted.join(texts, "node").select("block", F.lit(0).alias("kind"), "node", F.lit(None).cast("long").alias("b"), "text")
+    wanted = stash(sent.select("block", F.col("b").alias("node")).unionByName(sent.select("block", F.col("a").alias("node"))).distinct(), "wanted")
+    # two numbers a row: where they are few, all texts needn't be shuffled to find theirs
+    near = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    bodies = texts.join(near, "node").select("block", F.lit(0).alias("kind"), "node", F.lit(None).cast("long").alias("b"), "text")
     asked = sent.select("block", F.lit(1).alias("kind"), F.col("a").alias("node"), "b", F.lit(None).cast("string").alias("text"))
     schema, threshold = "a long, b long, jaccard double", scheme.threshold
     target = pa_schema(schema)

@@ -31,7 +31,7 @@ TRAIN_ROWS, EPOCHS = 6000, 3
 ALPHA, BETA, L1, L2 = 0.2, 0.5, 0.02, 0.05
 THRESHOLD = 0.3
 #: Distinct words whose hashes a worker remembers.
-WORDS = 200_000
+WORDS = 100_000
 
 _RUN = regex.compile(r"\p{Lu}+|\p{L}+|\p{N}+|(.)\1*", regex.DOTALL)
 
@@ -109,7 +109,7 @@ def fit(rows: Iterator[tuple[str, int]], epochs: int = EPOCHS) -> np.ndarray:
     for text, y in rows:
         words = (text or "").split()
         at, count = np.unique(features(words), return_counts=True) if words else (np.zeros(0, np.int64), np.zeros(0))
-        seen.append((np.append(at, 1 << BITS), np.append(count / max(1.0, np.sqrt(len(words))), 1.0), int(y)))
+        seen.append((np.append(at, 1 << BITS).astype(np.int32), np.append(count / max(1.0, np.sqrt(len(words))), 1.0).astype(np.float32), int(y)))
     model = Ftrl()
     for _ in range(epochs):
         for at, x, y in seen:

@@ -11,7 +11,7 @@ import xxhash
 
 WIDTH = 5
 #: Distinct words whose hash a worker remembers.
-WORDS = 300_000
+WORDS = 150_000
 
 
 class WordHash(dict):
