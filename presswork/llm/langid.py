@@ -181,7 +181,8 @@ def train(docs: DataFrame, usable: Column, rows: int = TRAIN_ROWS) -> bytes:
         yield pa.RecordBatch.from_arrays([pa.array([fit(rows())], pa.binary())], names=["model"])
 
     one = sample.repartition(1).sortWithinPartitions("_h", "doc_id", "text").select("text", "_lang")
-    return bytes(one.mapInArrow(run, "model binary").first()["model"])
+    made = one.mapInArrow(run, "model binary").first()
+    return bytes(made["model"]) if made else fit(iter(()))
 
 
 def add_language(docs: DataFrame, model: bytes) -> DataFrame:

@@ -132,11 +132,10 @@ def pfair_order(docs: DataFrame, weights: dict[str, float] | None = None, frame:
 
 
 def mixed(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
-    """The rows of ``docs`` in the order of the mix, with the columns of ``docs``. The order is that
+    """The rows of ``docs`` in the order of the mix, with all the columns of ``docs``, of whatever name. The order is that
     of the files when written: ranges of slots, sorted within."""
-    order = pfair_order(docs, weights)
-    names = [c for c in docs.columns if c in order.columns]
-    return order.orderBy("mix_slot", "mix_rank").select(*names)
+    whole = docs.select("doc_id", "source", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_mix_whole"))
+    return pfair_order(whole, weights).orderBy("mix_slot", "mix_rank").select("_mix_whole.*")
 
 
 def mix_digest(docs: DataFrame) -> DataFrame:

@@ -137,7 +137,8 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "qual
         yield pa.RecordBatch.from_arrays([pa.array([_dump(w)], pa.binary())], names=["model"])
 
     one = sample.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "text").select("text", "_label")
-    return bytes(one.mapInArrow(run, "model binary").first()["model"])
+    made = one.mapInArrow(run, "model binary").first()
+    return bytes(made["model"]) if made else _dump(fit(iter(())))
 
 
 def scorer(model: bytes) -> Callable[[list[str]], np.ndarray]:
