@@ -260,7 +260,8 @@ class Counter:
         if self.m.suffix:
             raise ValueError("prefix counts are for vocabularies without word ends")
         self.special = regex.compile("|".join(map(regex.escape, sorted(self.m.special, key=len, reverse=True))) or r"(?!)")
-        self.totals = Memo(lambda w: self.piece(w)[-1])
+        # a count is a small integer, so twice as many words fit as with their ids
+        self.totals = Memo(lambda w: 1 if w.encode("utf-8", "surrogatepass") in self.m.inner else self.piece(w)[-1], 2 * WORDS)
 
     def piece(self, piece: str) -> list[int]:
         return self.m.prefix_counts(piece.encode("utf-8", "surrogatepass"))
