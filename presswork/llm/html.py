@@ -1,7 +1,7 @@
 """Layout-aware text of HTML pages: a tree builder with implied tags, visibility rules, and a renderer.
 
-The builder keeps the stack of open elements: block starts close an open paragraph, list items, cells,
-rows, options and definition terms close their like, end tags close what is open inside their element and are ignored
+The builder keeps the stack of open elements: text and what isn't head matter close an open head, block starts close an
+open paragraph, list items, cells, rows, options and definition terms close their like, end tags close what is open inside their element and are ignored
 where it isn't open. Not rendered: head matter (title, style, script, template, ...), ``hidden`` and
 ``display: none`` elements with all inside, and ``visibility: hidden`` text until an inner element is
 visible again. Everything else that is text is rendered:
@@ -60,6 +60,9 @@ CLOSES = {
 #: A paragraph isn't looked for beyond these.
 SCOPE = frozenset("td th table caption button html object".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Any other start tag, and text, ends an open head.
+HEAD = frozenset("base link meta title style script template noscript noframes".split())
+SPACE = " \t\n\f\r"
 
 
 class Flow:
@@ -195,6 +198,8 @@ class Renderer:
         return "\n".join(lines)
 
     def text(self, s: str, literal: bool = False) -> None:
+        if self.stack[-1].tag == "head" and s.strip(SPACE):
+            self.pop()
         top = self.stack[-1]
         if top.none or not top.seen or top.tag in ("table", "tbody", "thead", "tfoot", "tr") and not s.strip():
             return
@@ -204,6 +209,8 @@ class Renderer:
 
     def start(self, tag: str, attrs: str) -> None:
         # implied end tags
+        if self.stack[-1].tag == "head" and tag not in HEAD:
+            self.pop()
         if tag in BLOCKS and tag not in ("html", "body", "option", "optgroup"):
             self._close_if({"p"}, SCOPE)
         if tag in CLOSES:

@@ -193,3 +193,19 @@ def test_classifier():
 )
 def test_html(source, text):
     assert html.render(source) == text
+
+
+@pytest.mark.parametrize(
+    ("source", "text"),
+    [
+        ("<html><head><title>x</title><p>Hello", "Hello"),
+        ("<head><meta charset=utf-8><h1>A</h1><p>b", "A\n\nb"),
+        ("<html><head><style>p{}</style><script>1<2</script> \n loose <b>text</b>", "loose text"),
+        ("<head><link rel=x><noscript><p>off</p></noscript><base href=/><div>on</div>", "on"),
+        ("<head><title>x</title></html>late", "late"),
+        ("<head><template><p>t</p></template>&nbsp;a", "\xa0a"),
+        ("<head><title>x</title></head><p>a<head><p>b", "a\n\nb"),
+    ],
+)
+def test_html_head_without_its_end_tag(source, text):
+    assert html.render(source) == text
