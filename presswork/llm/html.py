@@ -10,6 +10,9 @@ visible again. Everything else that is text is rendered:
 * blocks begin and end lines, and those that have margins (paragraphs, headings, lists, tables, ...) stand
   apart by one empty line;
 * list items carry ``- `` or their number, two blanks further in per level;
+* of svg the text of ``text`` and the HTML in ``foreignObject`` is rendered, of math all text: in the line, parted by a blank
+  from other labels and cells; not their titles, descriptions, annotations and what is shown only where others refer to it
+  (``defs``, ``symbol``, clips, masks, markers, patterns); all branches of a ``switch`` are;
 * table cells are padded to the width of their column and parted by `` | ``; a cell of several
   lines makes the row as high; spanned columns share their cell's width.
 
@@ -36,11 +39,12 @@ _TOKEN = re.compile(
     re.DOTALL,
 )
 _ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
+_FONT = re.compile(r"(?:^|[\s\"'/])(?:color|face|size)(?=[\s=/]|$)", re.IGNORECASE)
 _FOLD = re.compile(r"[ \t\n\f\r]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Never rendered.
-NOTHING = frozenset("head title style script template noembed noframes iframe object audio video canvas svg math datalist base link meta".split())
+NOTHING = frozenset("head title style script template noembed noframes iframe object audio video canvas datalist base link meta".split())
 #: Their content is text up to the end tag, whatever it looks like.
 RAW = frozenset("script style title textarea noembed noframes iframe xmp".split())
 #: Blocks; the ones with margins stand apart.
@@ -58,7 +62,21 @@ CLOSES = {
     "tfoot": ({"tbody", "thead", "tfoot", "tr", "td", "th", "caption"}, {"table"}), "caption": ({"caption"}, {"table"}), "body": ({"head"}, {"html"}),
 }
 #: A paragraph isn't looked for beyond these.
-SCOPE = frozenset("td th table caption button html object".split())
+SCOPE = frozenset("td th table caption button html object".split()) | frozenset(
+    ["svg foreignobject", "svg desc", "svg title", "math mi", "math mo", "math mn", "math ms", "math mtext", "math annotation-xml"]
+)
+#: Parts of svg and math that aren't shown, or only where others refer to them.
+UNSHOWN = frozenset(
+    [f"svg {t}" for t in "title desc defs metadata symbol clippath mask marker pattern lineargradient radialgradient filter style script".split()]
+    + ["math annotation", "math annotation-xml"]
+)
+#: Their content is HTML again.
+HTML_INSIDE = frozenset(["svg foreignobject", "svg desc", "svg title", "math mi", "math mo", "math mn", "math ms", "math mtext"])
+#: Start tags that end svg and math.
+BREAKS_OUT = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s "
+    "small span strong strike sub sup table tt u ul var".split()
+)
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Any other start tag, and text, ends an open head.
 HEAD = frozenset("base link meta title style script template noscript noframes".split())
@@ -108,6 +126,10 @@ class Flow:
                 self.indent, self.marker = self.indent + len(self.marker), ""
         self.blank = False
 
+    def part(self) -> None:
+        """A blank is due before more text of the line."""
+        self.blank = bool(self.parts)
+
     def apart(self) -> None:
         self.end()
         self.gap = bool(self.lines)
@@ -149,14 +171,41 @@ class Table:
         return out
 
 
+def _given(attrs: str) -> dict[str, str]:
+    given: dict[str, str] = {}
+    for name, value in _ATTR.findall(attrs):
+        given.setdefault(name.lower(), value[1:-1] if value[:1] in "\"'" else value)
+    return given
+
+
+def _closes_itself(attrs: str) -> bool:
+    """Whether the tag ends in a slash that isn't the end of an unquoted value."""
+    if not attrs.endswith("/"):
+        return False
+    last = None
+    for last in _ATTR.finditer(attrs):
+        pass
+    return last is None or last.end() < len(attrs)
+
+
+def _shown(given: dict[str, str], style: str, none: bool, seen: bool) -> tuple[bool, bool]:
+    style = re.sub(r"\s+", "", entities.unescape(style)).lower()
+    if "visibility:hidden" in style or "visibility:collapse" in style:
+        seen = False
+    elif "visibility:visible" in style:
+        seen = True
+    return none or "hidden" in given or "display:none" in style, seen
+
+
 class _Open:
     """An open element and what to do when it closes."""
 
-    __slots__ = ("tag", "none", "seen", "pre", "count", "flow", "table", "span", "indent")
+    __slots__ = ("tag", "none", "seen", "pre", "count", "flow", "table", "span", "indent", "space", "mute", "parted")
 
     def __init__(self, tag: str, none: bool, seen: bool, pre: bool):
         self.tag, self.none, self.seen, self.pre = tag, none, seen, pre
         self.count, self.flow, self.table, self.span, self.indent = 0, None, None, 1, None
+        self.space, self.mute, self.parted = "", False, None  # svg or math if its content is; text right inside isn't shown; what parts it
 
 
 class Renderer:
@@ -201,7 +250,7 @@ class Renderer:
         if self.stack[-1].tag == "head" and s.strip(SPACE):
             self.pop()
         top = self.stack[-1]
-        if top.none or not top.seen or top.tag in ("table", "tbody", "thead", "tfoot", "tr") and not s.strip():
+        if top.none or not top.seen or top.mute or (top.space == "math" or top.tag in ("table", "tbody", "thead", "tfoot", "tr")) and not s.strip():
             return
         if not literal and "&" in s:
             s = entities.unescape(s)
@@ -211,6 +260,13 @@ class Renderer:
         # implied end tags
         if self.stack[-1].tag == "head" and tag not in HEAD:
             self.pop()
+        if self.stack[-1].space:
+            if tag not in BREAKS_OUT and not (tag == "font" and _FONT.search(attrs)):
+                return self.foreign(self.stack[-1].space, tag, attrs)
+            while self.stack[-1].space:
+                self.pop()
+        elif tag in ("svg", "math"):
+            return self.foreign(tag, tag, attrs)
         if tag in BLOCKS and tag not in ("html", "body", "option", "optgroup"):
             self._close_if({"p"}, SCOPE)
         if tag in CLOSES:
@@ -225,17 +281,10 @@ class Renderer:
         pre = top.pre or tag in ("pre", "textarea", "xmp")
         given: dict[str, str] = {}
         if attrs and not attrs.isspace():
-            for name, value in _ATTR.findall(attrs):
-                given.setdefault(name.lower(), value[1:-1] if value[:1] in "\"'" else value)
-            if "hidden" in given or tag == "input" and given.get("type", "").lower() == "hidden":
-                none = True
-            style = re.sub(r"\s+", "", entities.unescape(given.get("style", ""))).lower()
-            if "display:none" in style:
+            given = _given(attrs)
+            if tag == "input" and given.get("type", "").lower() == "hidden":
                 none = True
-            if "visibility:hidden" in style or "visibility:collapse" in style:
-                seen = False
-            elif "visibility:visible" in style:
-                seen = True
+            none, seen = _shown(given, given.get("style", ""), none, seen)
         if tag in VOID:
             if not none and tag == "br":
                 self.flows[-1].end(True)
@@ -284,7 +333,42 @@ class Renderer:
         elif tag in BLOCKS:
             flow.end()
 
+    def foreign(self, space: str, tag: str, attrs: str) -> None:
+        """An element of svg or math, named by both."""
+        top, name, given = self.stack[-1], f"{space} {tag}", _given(attrs)
+        none, seen = top.none or name in UNSHOWN, top.seen
+        style = given.get("style", "")
+        if space == "svg":
+            style = ";".join([*(f"{k}:{given[k]}" for k in ("display", "visibility") if k in given and k + ":" not in style), style])
+        none, seen = _shown(given, style, none, seen)
+        el = _Open(name, none, seen and name != "math mphantom", False)
+        el.space = "" if name in HTML_INSIDE else space
+        if space == "svg":
+            el.mute = tag == "svg" or top.mute and tag not in ("text", "foreignobject")
+        if tag in ("text", "foreignobject") or tag == "tspan" and ("x" in given or "y" in given) or tag in ("mtr", "mtd", "mlabeledtr"):
+            el.parted = Flow.part
+        elif name == "math math" and given.get("display", "").lower() == "block":
+            el.parted = Flow.end
+        self.stack.append(el)
+        self.open[name] += 1
+        if el.parted and not none:
+            el.parted(self.flows[-1])
+        if _closes_itself(attrs):
+            self.pop()
+
     def end(self, tag: str) -> None:
+        if " " in self.stack[-1].tag:
+            if tag in ("br", "p"):
+                while self.stack[-1].space:
+                    self.pop()
+            elif self.open["svg " + tag] or self.open["math " + tag]:
+                for e in reversed(self.stack):
+                    if " " not in e.tag:
+                        break
+                    if e.tag.partition(" ")[2] == tag:
+                        while self.pop() != e.tag:
+                            pass
+                        return None
         if tag == "br":
             return self.start("br", "")
         if tag == "p" and not self._open("p", SCOPE):
@@ -361,6 +445,8 @@ class Renderer:
                 flow.parts.append(line)
                 flow.end(True)
             flow.gap = bool(flow.lines)
+        elif e.parted:
+            e.parted(flow)
         elif e.tag == "li":
             flow.end()
             flow.marker, flow.indent = "", e.indent

@@ -209,3 +209,28 @@ def test_html(source, text):
 )
 def test_html_head_without_its_end_tag(source, text):
     assert html.render(source) == text
+
+
+@pytest.mark.parametrize(
+    ("source", "text"),
+    [
+        ("<p>Sales <svg><text>42</text></svg> units", "Sales 42 units"),
+        ("a<svg><title>t</title><desc>d</desc><defs><text>n</text></defs><path d='M0'/><g><text x=1>Jan</text><text>Fe<tspan>b</tspan></text></g></svg>b", "a Jan Feb b"),
+        ("<svg><style>text{}</style><title/><symbol><text>s</text></symbol><text><title>tip</title>one</text> stray <metadata>m</metadata></svg>", "one"),
+        ("<svg><text display=none>a</text><g visibility='hidden'><text>b</text></g><text style='display:none'>c</text><text>d</text></svg>", "d"),
+        ("<svg><foreignObject><div>x<p>y</div></foreignObject><text>z</text></svg>", "x\n\ny\n\nz"),
+        ("<svg><defs><p>out", "out"),
+        ("<head><svg><text>a</text></svg>", "a"),
+        ("<td><svg><g><text>a</text></td></svg>b", "a\nb"),
+        ("<svg hidden><text>a</text></svg>b", "b"),
+        ("<p>If <math> <mi>x</mi> <mo>&lt;</mo> <mn>1</mn> </math> then", "If x<1 then"),
+        ("<math><semantics><mi>y</mi><annotation>tex</annotation><annotation-xml><mi>q</mi></annotation-xml></semantics></math>!", "y!"),
+        ("<math><mtable><mtr><mtd><mn>1</mn></mtd><mtd><mn>2</mn></mtd></mtr></mtable></math>", "1 2"),
+        ("a<math display=block><mi>b</mi></math>c", "a\nb\nc"),
+        ("<table><tr><td><svg><text>k</text></svg><td>v</table>", "k | v"),
+        ("<svg><a href=x/><text>l</text></a></svg><b>m</b>", "l m"),
+        ("<svg>" * 3000 + "<text>deep", "deep"),
+    ],
+)
+def test_html_svg_and_math(source, text):
+    assert html.render(source) == text
