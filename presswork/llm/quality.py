@@ -9,7 +9,8 @@ one sparse dot product. Scoring is row-local over whole texts.
 
 Defined cases: null and empty texts score the bias alone; rows without a label, or whose label is
 null, don't train; without any labelled row every score is 0.5; repeated rows score alike. Words are
-what lies between white space, so a text without any is one word.
+what lies between white space; a longer one than ``PIECE`` characters is cut into consecutive pieces of that length that
+each count as a word, in training and in scoring, so all of a text without white space counts.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ BITS = 20
 TRAIN_ROWS, EPOCHS = 6000, 3
 ALPHA, BETA, L1, L2 = 0.2, 0.5, 0.02, 0.05
 THRESHOLD = 0.3
+#: Characters of a word's piece.
+PIECE = 64
 #: Distinct words whose hashes a worker remembers.
 WORDS = 100_000
 
@@ -39,7 +42,7 @@ _RUN = regex.compile(r"\p{Lu}+|\p{L}+|\p{N}+|(.)\1*", regex.DOTALL)
 def _shape(word: str) -> str:
     """Case, digits and marks of a word, runs folded: ``The,`` is ``Aa,`` and ``on%%%`` ``a%%``."""
     out = []
-    for m in _RUN.finditer(word[:64]):
+    for m in _RUN.finditer(word):
         s = m.group()
         if s[0].isalpha():
             out.append("A" if s.isupper() else "a")
@@ -50,6 +53,13 @@ def _shape(word: str) -> str:
     return "".join(out)
 
 
+def words_of(text: str) -> list[str]:
+    words = text.split()
+    if max(map(len, words), default=0) > PIECE:
+        words = [w[k : k + PIECE] for w in words for k in range(0, len(w), PIECE)]
+    return words
+
+
 class WordHashes(dict):
     """Word to its two 32-bit hashes in one integer: of itself low, of its shape high."""
 
@@ -107,7 +117,7 @@ def fit(rows: Iterator[tuple[str, int]], epochs: int = EPOCHS) -> np.ndarray:
     """Weights, the bias last, of the given (text, label) rows in their order."""
     seen = []
     for text, y in rows:
-        words = (text or "").split()
+        words = words_of(text or "")
         at, count = np.unique(features(words), return_counts=True) if words else (np.zeros(0, np.int64), np.zeros(0))
         seen.append((np.append(at, 1 << BITS).astype(np.int32), np.append(count / max(1.0, np.sqrt(len(words))), 1.0).astype(np.float32), int(y)))
     model = Ftrl()
@@ -147,7 +157,7 @@ def scorer(model: bytes) -> Callable[[list[str]], np.ndarray]:
     def score(texts: list[str]) -> np.ndarray:
         out = np.empty(len(texts))
         for k, text in enumerate(texts):
-            words = text.split()
+            words = words_of(text)
             out[k] = w[-1] + (float(w[features(words)].sum(dtype=np.float64)) / np.sqrt(len(words)) if words else 0.0)
         return 1.0 / (1.0 + np.exp(-np.clip(out, -35, 35)))
 

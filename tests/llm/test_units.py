@@ -182,6 +182,16 @@ def test_classifier():
     assert quality.scorer(quality._dump(quality.fit(iter([]))))(["x", ""]).tolist() == [0.5, 0.5]
 
 
+def test_classifier_reads_all_of_a_text_without_white_space():
+    draw = random.Random(3)
+    good = ["".join(chr(draw.randint(0x4E00, 0x9FA0)) for _ in range(400)) for _ in range(60)]
+    bad = [g[:64] + "".join(draw.choice("=x7%A") for _ in range(336)) for g in good]
+    score = quality.scorer(quality._dump(quality.fit((t, y) for pair in zip(good[:50], bad[:50], strict=True) for t, y in zip(pair, (1, 0), strict=True))))
+    assert min(score(good[50:])) > 0.6 and max(score(bad[50:])) < 0.4
+    text = "".join(chr(draw.randint(0x4E00, 0x9FA0)) for _ in range(1000))
+    assert "".join(quality.words_of(text)) == text and quality.words_of("a " + "b" * 64) == ["a", "b" * 64]
+
+
 @pytest.mark.parametrize(
     ("source", "text"),
     [
