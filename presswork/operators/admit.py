@@ -12,7 +12,8 @@ from ..functions import patterns as P
 from ..functions.text import all_lines, col, strip
 
 FLOOR, HARD_ERROR, HEAD, TAIL = 2000, 8000, 8, 8
-REF = r"⟦held:([a-zA-Z0-9_.\-]+)/([0-9]{4})⟧"
+#: References to plain names, and to names of anything but the closing bracket. They look ahead, as one may begin inside another.
+REF, ANY_REF = r"(?=(⟦held:[a-zA-Z0-9_.\-]+/[0-9]{4,}⟧))", r"(?=(⟦held:[^⟧]+/[0-9]{4,}⟧))"
 PRIORS = {"keep_full": 1.0, "trim": 0.5, "notice": 0.0, "hold": 0.0}
 
 Policy = Callable[[Column, Column], tuple[Column, Column]]
@@ -98,13 +99,13 @@ def stats(admitted: DataFrame, text: str = "text") -> DataFrame:
     return admitted.agg(*counts, F.sum(F.length(text)).alias("chars_in"), F.sum(F.length("admitted")).alias("chars_out"), F.sum("held_chars").alias("held_chars"))
 
 
-def mentioned(text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(REF), F.lit(0)))
+def mentioned(text: Column, form: str = REF) -> Column:
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(form), F.lit(1)))
 
 
-def readmit_mentioned(messages: DataFrame, key: str, text: str, holds: DataFrame) -> DataFrame:
+def readmit_mentioned(messages: DataFrame, key: str, text: str, holds: DataFrame, form: str = REF) -> DataFrame:
     """Held texts whose references a message names, each once per message."""
-    return messages.select(key, F.explode(mentioned(col(text))).alias("ref")).join(holds.select("ref", F.col("text").alias("held_text")), "ref")
+    return messages.select(key, F.explode(mentioned(col(text), form)).alias("ref")).join(holds.select("ref", F.col("text").alias("held_text")), "ref")
 
 
 def fingerprint(name: Column, text: Column) -> list[Column]:

@@ -147,7 +147,7 @@ def readmit_mentions(spark: SparkSession, sf: str) -> DataFrame:
     """Messages that name each reference twice and one that doesn't exist."""
     h = holds(spark, sf)
     said = h.select("pos", F.concat(F.lit("see "), "ref", F.lit(" and "), "ref", F.lit(" or ⟦held:none/9999⟧")).alias("said"))
-    return A.readmit_mentioned(said, "pos", "said", h).select("pos", "ref", F.sha1("held_text").alias("held_sha"))
+    return A.readmit_mentioned(said, "pos", "said", h, A.ANY_REF).select("pos", "ref", F.sha1("held_text").alias("held_sha"))
 
 
 ANNOTATED = (

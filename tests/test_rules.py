@@ -227,3 +227,12 @@ def test_policies(spark):
     c = spark.createDataFrame([("t", 0, "a\nb\nc"), ("t", 1, "a\nb\nz"), ("t", 2, " "), ("t", 3, "q\n" * 9)], "t string, chunk_idx int, chunk string")
     assert [r["p"] for r in policy.boilerplate(c, "t", ["chunk_idx"]).orderBy("chunk_idx").collect()] == [1.0, 0.0, 0.0, 1.0]
     assert [r["p"] for r in policy.uniqueness(c).orderBy("chunk_idx").collect()] == [1.0, 1.0, 1.0, 0.1]
+
+
+def test_readmit_past_9999_and_any_name(spark):
+    rows = spark.range(10_020).select(F.lit("bash").alias("name"), F.col("id").alias("pos")).union(spark.createDataFrame([("voice:x", 1), ("http://a/b c", 2), ("a⟦b", 3)], "name string, pos long"))
+    h = admit.hold_refs(rows).withColumn("text", F.concat("name", F.col("pos").cast("string")))
+    said = h.select("name", "pos", F.concat(F.lit("⟦held: see "), "ref", F.lit("⟦held:bash/")).alias("said")).withColumn("k", F.concat_ws("/", "name", "pos"))
+    got = admit.readmit_mentioned(said, "k", "said", h, admit.ANY_REF)
+    assert got.count() == 10_023 and got.where("ref in ('⟦held:bash/10000⟧', '⟦held:voice:x/0001⟧', '⟦held:http://a/b c/0001⟧', '⟦held:a⟦b/0001⟧')").count() == 4
+    assert admit.readmit_mentioned(said, "k", "said", h).where("ref like '⟦held:bash/_____⟧'").count() == 21
