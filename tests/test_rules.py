@@ -236,3 +236,21 @@ def test_readmit_past_9999_and_any_name(spark):
     got = admit.readmit_mentioned(said, "k", "said", h, admit.ANY_REF)
     assert got.count() == 10_023 and got.where("ref in ('⟦held:bash/10000⟧', '⟦held:voice:x/0001⟧', '⟦held:http://a/b c/0001⟧', '⟦held:a⟦b/0001⟧')").count() == 4
     assert admit.readmit_mentioned(said, "k", "said", h).where("ref like '⟦held:bash/_____⟧'").count() == 21
+
+
+def test_near_clusters_of_long_chains(spark):
+    r = random.Random(5)
+    chain = {(k, k + 1): 0.9 for k in range(299)}
+    mixed = {(a, b): r.choice((0.86, 0.9, 1.0)) for a, b in (sorted(r.sample(range(1000, 1200), 2)) for _ in range(400))}
+    like = chain | mixed
+    reps, to = [], {}
+    for k in sorted({k for pair in like for k in pair}):
+        best = max(((like[x, k], -x) for x in reps if (x, k) in like), default=None)
+        if best:
+            to[k] = -best[1]
+        else:
+            reps.append(k)
+    pairs = spark.createDataFrame([(a, b, j) for (a, b), j in like.items()], "a int, b int, jaccard double")
+    for most in (2, 0):
+        got = dedup.near_clusters(pairs, scratch(spark), most).collect()
+        assert {r["k"]: r["rep"] for r in got} == to and len([k for k in to if k < 300]) == 150
