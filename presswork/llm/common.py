@@ -6,6 +6,7 @@ the slicing that keeps a Python worker's memory flat when a batch holds very lon
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -26,7 +27,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir`` of the session, or one that
-    was set on the context. Only where neither is set (tests on one machine) is one made here."""
+    was set on the context. Where neither is set, a session on one machine gets one made here and a cluster an error."""
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None)
     own = sc._jsc.sc().getCheckpointDir()
@@ -34,6 +35,8 @@ def shared_dir(spark: SparkSession) -> str:
         return where.rstrip("/")
     if own.isDefined():
         return own.get()
+    if not re.match(r"local(\[|$)", sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     made = tempfile.mkdtemp(prefix="presswork-checkpoint-")
     sc.setCheckpointDir(made)
     return made
@@ -45,7 +48,42 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept._stashed = path
+    return kept
+
+
+def release(*stashed: DataFrame) -> None:
+    """Delete tables that ``stash`` wrote and nothing reads any more."""
+    for df in stashed:
+        path = getattr(df, "_stashed", None)
+        if path:
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+
+
+#: Plans in which a row's place, as ``monotonically_increasing_id`` numbers it, is the same each time they run.
+_FIXED = frozenset(["Project", "Filter", "LogicalRelation", "Relation", "SubqueryAlias"])
+
+
+def in_place(df: DataFrame, name: str = "docs") -> DataFrame:
+    """``df`` as a table whose rows can be known by their place: itself if it is a scan of files (with columns picked and rows
+    filtered), else a stashed copy."""
+
+    def fixed(plan) -> bool:
+        kids = plan.children()
+        return plan.nodeName().split(" ")[0] in _FIXED and kids.size() <= 1 and all(fixed(kids.apply(k)) for k in range(kids.size()))
+
+    plan = df._jdf.queryExecution().analyzed()
+    return df if plan.deterministic() and fixed(plan) else stash(df, name)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, longer if a column is called so in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def clear_of(df: DataFrame, *names: str) -> DataFrame:

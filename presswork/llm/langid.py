@@ -7,12 +7,12 @@ language whose codeword loses least; the softmax of the losses is the score. A s
 second language flags the text as ambiguous.
 
 Up to five languages get the exhaustive code (all ways to part them), more get the best of some
-random codes by least distance. The fit takes at most ``TRAIN_ROWS`` rows, the same number per
-language, those with the smallest hash of their id; the weights (2**16 rows of one float per bit)
+random codes by least distance. The fit takes at most ``TRAIN_ROWS`` ids, the same number per
+language, those with the smallest hash, one row of each and ``TRAIN_CHARS`` characters in all; the weights (2**16 rows of one float per bit)
 are broadcast. Prediction is row-local over whole texts, in blocks of bounded size.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; rows with null lang don't
-train; without any training row all are ``und``; with one language that one is the answer, score 1;
+train; of rows with one id and language the one whose text has the least hash trains; without any training row all are ``und``; with one language that one is the answer, score 1;
 ties go to the language first in the alphabet.
 """
 
@@ -31,6 +31,8 @@ from .common import clear_of, slices
 
 BITS, ORDERS = 16, (2, 3, 4)
 TRAIN_ROWS, EPOCHS, RATE = 4000, 4, 0.6
+#: Characters of text that train, in all.
+TRAIN_CHARS = 64 << 20
 #: A sum over n-grams is divided by their number to this power, times SCALE.
 SCALE = 12.0
 #: Share of probability below which the margin to the second language is called ambiguous.
@@ -86,9 +88,12 @@ def bit_scores(text: str, w: np.ndarray, bias: np.ndarray) -> np.ndarray:
 
 
 def fit(rows: Iterator[tuple[str, str]], epochs: int = EPOCHS) -> bytes:
-    """The model of the given (text, language) rows, as bytes."""
-    seen, names = [], []
+    """The model of the given (text, language) rows, as bytes; rows that would take the texts over ``TRAIN_CHARS`` are left out."""
+    seen, names, room = [], [], TRAIN_CHARS
     for text, lang in rows:
+        if len(text) > room:
+            continue
+        room -= len(text)
         data = raw(text)
         parts = [p for at in range(0, max(1, len(data) - 1), BLOCK) for p in gram_places(data[at : at + BLOCK + max(ORDERS) - 1])]
         at, count = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.uint32), np.zeros(0))
@@ -153,23 +158,24 @@ def predictor(model: bytes) -> Callable[[str | None], tuple[str, float, str | No
 
 
 def train(docs: DataFrame, usable: Column, rows: int = TRAIN_ROWS) -> bytes:
-    """A fitted model. Languages are counted first, so that each gets the same share of ``rows``; the
-    row number's limit applies before the shuffle (Spark's group limit), so a language that most
-    rows have isn't gathered."""
-    narrow = docs.where(usable & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").rlike("\\p{L}"))
+    """A fitted model. Languages are counted first, so that each gets the same share of ``rows``. Ids are told apart by a partial
+    aggregate, so one that many rows have counts once, and the row number's limit applies before its shuffle (Spark's group
+    limit), so a language that most rows have isn't gathered."""
+    learnable = docs.where(usable & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
+    narrow = learnable.where(F.col("text").rlike("\\p{L}"))
     kinds = narrow.select("lang").distinct().count()
     each = max(4, rows // max(1, kinds))
     order = Window.partitionBy("lang").orderBy("_h", "doc_id")
     chosen = (
-        docs.where(usable & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-        .select("lang", "doc_id", F.xxhash64("doc_id").alias("_h"))
+        learnable.select("lang", "doc_id").distinct().withColumn("_h", F.xxhash64("doc_id"))
         .withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= each)
         .select("doc_id", F.col("lang").alias("_lang"), "_h")
     )
     ids = chosen.collect() if kinds * each <= 50_000 else None
     if ids is not None:  # a checked bound, so the ids may be broadcast
         chosen = F.broadcast(docs.sparkSession.createDataFrame(ids, chosen.schema))
-    sample = docs.select("doc_id", "lang", "text").join(chosen, "doc_id").where("lang = _lang and text is not null")
+    found = docs.select("doc_id", "lang", "text").join(chosen, "doc_id").where("lang = _lang and text is not null")
+    sample = found.groupBy("_lang", "_h", "doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple[str, str]]:

@@ -3,12 +3,13 @@
 Features are single words, pairs of neighbouring words, and the same of word shapes (letters folded
 to case, digits and marks kept by kind), all hashed into one table of 2**20 weights. A
 feature counts its occurrences over the square root of the text's length. The model is fitted on at
-most ``TRAIN_ROWS`` labelled rows, those with the smallest hash of their id, in one task; the
+most ``TRAIN_ROWS`` labelled ids, those with the smallest hash, one row per id and ``TRAIN_CHARS`` characters in all, in one task; the
 weights (4 MB, whatever the corpus) go to the executors as a broadcast variable and a text's score is
 one sparse dot product. Scoring is row-local over whole texts.
 
 Defined cases: null and empty texts score the bias alone; rows without a label, or whose label is
-null, don't train; without any labelled row every score is 0.5; repeated rows score alike. Words are
+null, don't train; without any labelled row every score is 0.5; repeated rows score alike; of rows with one id the one whose text
+has the least hash trains; what would take the training texts over that is left out. Words are
 what lies between white space; a longer one than ``PIECE`` characters is cut into consecutive pieces of that length that
 each count as a word, in training and in scoring, so all of a text without white space counts.
 """
@@ -25,10 +26,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import clear_of, pa_schema, slices, text_or_empty
+from .common import clear_of, free_name, pa_schema, slices, text_or_empty
 
 BITS = 20
 TRAIN_ROWS, EPOCHS = 6000, 3
+#: Characters of text that train, in all.
+TRAIN_CHARS = 64 << 20
 ALPHA, BETA, L1, L2 = 0.2, 0.5, 0.02, 0.05
 THRESHOLD = 0.3
 #: Characters of a word's piece.
@@ -114,9 +117,12 @@ def _sigmoid(v: float) -> float:
 
 
 def fit(rows: Iterator[tuple[str, int]], epochs: int = EPOCHS) -> np.ndarray:
-    """Weights, the bias last, of the given (text, label) rows in their order."""
-    seen = []
+    """Weights, the bias last, of the given (text, label) rows in their order; rows that would take the texts over ``TRAIN_CHARS`` are left out."""
+    seen, room = [], TRAIN_CHARS
     for text, y in rows:
+        if len(text or "") > room:
+            continue
+        room -= len(text or "")
         words = words_of(text or "")
         at, count = np.unique(features(words), return_counts=True) if words else (np.zeros(0, np.int64), np.zeros(0))
         seen.append((np.append(at, 1 << BITS).astype(np.int32), np.append(count / max(1.0, np.sqrt(len(words))), 1.0).astype(np.float32), int(y)))
@@ -140,7 +146,9 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "qual
         .groupBy("doc_id").agg(F.max(label).cast("int").alias("_label"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     )
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most ``rows`` ids
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most ``rows`` ids
+    # of an id that many rows have, each task passes one on
+    sample = found.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("_label").alias("_label"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = fit((t, y) for b in batches for t, y in zip(b.column("text").to_pylist(), b.column("_label").to_pylist(), strict=True))
@@ -185,15 +193,15 @@ def add_score(docs: DataFrame, model: bytes, threshold: float = THRESHOLD) -> Da
 
 def keep_good(docs: DataFrame, model: bytes, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that the classifier doesn't reject, with their own columns."""
-    names = docs.columns
-    marked = docs.withColumn("_quality_text", text_or_empty())
+    names, own = docs.columns, free_name(docs, "_quality_text")
+    marked = docs.withColumn(own, text_or_empty())
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = scorer(shared.value)
         for batch in batches:
-            for part in slices(batch, "_quality_text"):
-                good = pa.array(score(part.column("_quality_text").to_pylist()) >= threshold)
+            for part in slices(batch, own):
+                good = pa.array(score(part.column(own).to_pylist()) >= threshold)
                 yield part.filter(good).select(names)
 
     return marked.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in docs.dtypes))
