@@ -5,15 +5,18 @@ go into a compressed radix trie, whose terminal nodes carry the owner: the ident
 Two texts share a node only if every byte agrees, so a hash collision can't merge them.
 
 * Before the shuffle, each slice of a map task folds its own copies (also by trie), so a text that a
-  third of all rows repeat crosses the network once per slice and not once per row.
+  third of all rows repeat crosses the network once per slice and not once per row. What was folded is
+  written once and read by all that follows.
 * After it, a task sees its rows sorted by (length, hash). One such subtree is in memory at a time;
   the others wait in Spark's external sorter, on its disks: that is the spill by subtree.
+* A length and hash that more than ``HOT`` slices have is settled in two steps: first in parts of about the square root of
+  that number, whose owners then meet. So no task sees more than the root's number of bodies of one text.
 * The answer goes back to the rows over the slice's own owners, keys that occur at most a slice's
   rows times each, so no join key is hot.
 
 Defined cases: a null text counts as empty and all of those are copies of each other; a null doc_id
-is smaller than any other; of rows that agree in text and doc_id one stays; other columns don't
-matter to the decision. The input must be a table scan: rows are known by their place in it.
+is smaller than any other; of rows that agree in text and doc_id the first in the table stays; other columns don't
+matter to the decision. Rows are known by their place in the table; what isn't a scan of files is written to one first.
 """
 
 from __future__ import annotations
@@ -26,11 +29,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, by_slices, clear_of, pa_schema, slices
+from .common import SLICE_BYTES, by_slices, free_name, in_place, pa_schema, slices, stash
 
-#: The parts of the row key's place in the sort, and what stands for a null id.
-NO_ID = -(1 << 63)
 ROW = "_dedup_row"
+#: Slices that share a length and hash beyond which they are settled in parts first.
+HOT = 256
 
 
 class Patricia:
@@ -85,81 +88,81 @@ def content_hash(raw: bytes) -> int:
 _FOLDED = "row long, doc_id long, owner long, n long, h long, sha string, best_id long, best_row long, size long, body binary"
 
 
+def _rank(keep_max: bool) -> Callable[[int | None, int], tuple]:
+    """The greatest of these is the row that stays; a null id is less than any other."""
+    if keep_max:
+        return lambda doc, row: (doc is not None, doc or 0, -row)
+    return lambda doc, row: (doc is None, -(doc or 0), -row)
+
+
 def _fold(keep_max: bool, hasher: Callable[[bytes], int]) -> Callable[[pa.RecordBatch], dict[str, object]]:
-    sign = 1 if keep_max else -1
+    rank = _rank(keep_max)
 
     def fold(part: pa.RecordBatch) -> dict[str, object]:
         tries: dict[tuple[int, int], Patricia] = {}
         owners: dict[int, list] = {}
-        rows = part.column(ROW).to_pylist()
+        rows = part.column("row").to_pylist()
         ids = part.column("doc_id").to_pylist()
         cols: dict[str, list] = {k: [] for k in ("owner", "n", "h", "sha", "best_id", "best_row", "size", "body")}
         for k, (row, doc, text) in enumerate(zip(rows, ids, part.column("text").to_pylist(), strict=True)):
             raw = (text or "").encode("utf-8", "surrogatepass")
             h = hasher(raw)
-            rank = (sign * (NO_ID if doc is None else doc), -row)
             mine = tries.setdefault((len(raw), h), Patricia()).owner(
-                raw, lambda: [k, row, len(raw), h, hashlib.sha256(raw).hexdigest(), rank, 0, raw]  # noqa: B023
+                raw, lambda: [k, row, len(raw), h, hashlib.sha256(raw).hexdigest(), (doc, row), 0, raw]  # noqa: B023
             )
-            mine[5] = max(mine[5], rank)
+            mine[5] = max(mine[5], (doc, row), key=lambda at: rank(*at))
             mine[6] += 1
             owners[mine[0]] = mine
             cols["owner"].append(mine[1])
             cols["sha"].append(mine[4])
         for k in range(len(rows)):
             own = owners.get(k)
-            if own:
-                cols["n"].append(own[2])
-                cols["h"].append(own[3])
-                cols["best_id"].append(sign * own[5][0])
-                cols["best_row"].append(-own[5][1])
-                cols["size"].append(own[6])
-                cols["body"].append(own[7])
-            else:
-                for name in ("n", "h", "best_id", "best_row", "size", "body"):
-                    cols[name].append(None)
-        return {"row": part.column(ROW), "doc_id": part.column("doc_id"), **cols}
+            cols["best_id"].append(own[5][0] if own else None)
+            cols["best_row"].append(own[5][1] if own else None)
+            for name, at in (("n", 2), ("h", 3), ("size", 6), ("body", 7)):
+                cols[name].append(own[at] if own else None)
+        return {"row": part.column("row"), "doc_id": part.column("doc_id"), **cols}
 
     return fold
 
 
-_SETTLED = "owner long, keep_id long, keep_row long, group_size long"
+_BODY = ["owner", "n", "h", "best_id", "best_row", "size", "body"]
+_SETTLED = "owner long, top long, n long, h long, best_id long, best_row long, size long, body binary"
 
 
-def _settle(keep_max: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Over rows sorted by (n, h): one trie at a time, its classes sent on when it is complete."""
-    sign = 1 if keep_max else -1
-    schema = pa_schema(_SETTLED)
+def _settle(keep_max: bool, parts: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Over rows sorted by (part, n, h): one trie at a time, its classes sent on when it is complete, a row for each of the owners it
+    met: ``top`` is the class's first owner, whose row carries the body if these are ``parts`` that go on."""
+    rank, schema = _rank(keep_max), pa_schema(_SETTLED)
 
     def flush(classes: list[list]) -> Iterator[pa.RecordBatch]:
-        if classes:
-            cols: list[list] = [[], [], [], []]
-            for rank, size, owners in classes:
-                cols[0] += owners
-                cols[1] += [None if sign * rank[0] == NO_ID else sign * rank[0]] * len(owners)
-                cols[2] += [-rank[1]] * len(owners)
-                cols[3] += [size] * len(owners)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], schema=schema)
+        cols: list[list] = [[] for _ in schema]
+        for best, size, owners, n, h, body in classes:
+            for k, owner in enumerate(owners):
+                for c, v in zip(cols, (owner, owners[0], n, h, *best, size, body if parts and not k else None), strict=True):
+                    c.append(v)
+        if cols[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, trie, here, done = None, Patricia(), [], []
+        at, trie, here, done, held = None, Patricia(), [], [], 0
         for batch in batches:
-            for part in slices(batch, "body"):
-                for owner, n, h, best, row, size, body in zip(*(part.column(c).to_pylist() for c in ("owner", "n", "h", "best_id", "best_row", "size", "body")), strict=True):
-                    if (n, h) != at:
+            for piece in slices(batch, "body"):
+                for part, owner, n, h, doc, row, size, body in zip(*(piece.column(c).to_pylist() for c in ("part", *_BODY)), strict=True):
+                    if (part, n, h) != at:
                         done += here
-                        at, trie, here = (n, h), Patricia(), []
-                        if len(done) > 20_000:
+                        at, trie, here = (part, n, h), Patricia(), []
+                        if len(done) > 20_000 or held > SLICE_BYTES:
                             yield from flush(done)
-                            done = []
-                    rank = (sign * best, -row)
+                            done, held = [], 0
 
-                    def first(rank=rank):
-                        here.append([rank, 0, []])
+                    def first(n=n, h=h, doc=doc, row=row, body=body):
+                        here.append([(doc, row), 0, [], n, h, body if parts else None])
                         return here[-1]
 
                     mine = trie.owner(body, first)
-                    mine[0] = max(mine[0], rank)
+                    held += len(body) if parts and not mine[2] else 0
+                    mine[0] = max(mine[0], (doc, row), key=lambda b: rank(*b))
                     mine[1] += size
                     mine[2].append(owner)
         yield from flush(done + here)
@@ -167,30 +170,51 @@ def _settle(keep_max: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     return settle
 
 
-def exact_groups(docs: DataFrame, keep: str = "max", hasher: Callable[[bytes], int] = content_hash) -> DataFrame:
-    """One row per row of ``docs``: its place ``_dedup_row``, doc_id, keep_id, group_size, kept,
+def _settled(bodies: DataFrame, keep_max: bool) -> DataFrame:
+    """Per owner: keep_id, keep_row, group_size."""
+    many = bodies.groupBy("n", "h").count().where(F.col("count") > HOT).select("n", "h", F.ceil(F.sqrt("count")).cast("int").alias("parts"))
+    many = stash(many, "hot")  # at most a HOT-th of all slices' texts
+
+    def through(rows: DataFrame, parts: bool) -> DataFrame:
+        return (
+            rows.select("part", *_BODY).repartition("part", "n", "h").sortWithinPartitions("part", "n", "h", "owner")
+            .mapInArrow(_settle(keep_max, parts), _SETTLED)
+        )
+
+    def told(settled: DataFrame) -> DataFrame:
+        return settled.select("owner", F.col("best_id").alias("keep_id"), F.col("best_row").alias("keep_row"), F.col("size").alias("group_size"))
+
+    none = F.lit(0).alias("part")
+    if many.isEmpty():
+        return told(through(bodies.select(none, "*"), False))
+    split = bodies.join(many, ["n", "h"]).withColumn("part", F.pmod(F.xxhash64("owner"), F.col("parts")).cast("int"))
+    first = stash(through(split, True), "parts")
+    tops = first.where("owner = top").select(none, *_BODY)
+    rest = bodies.join(many.select("n", "h"), ["n", "h"], "left_anti").select(none, *_BODY)
+    final = told(through(rest.unionByName(tops), False))
+    # an owner of no part is its own top
+    back = first.where("owner <> top").select("owner", F.col("top").alias("_top"))
+    others = back.join(final.withColumnRenamed("owner", "_top"), "_top").drop("_top")
+    return final.unionByName(others)
+
+
+def exact_groups(docs: DataFrame, keep: str = "max", hasher: Callable[[bytes], int] = content_hash, row: str = ROW) -> DataFrame:
+    """One row per row of ``docs``: its place (``row``), doc_id, keep_id, group_size, kept,
     text_sha256. ``keep``: ``max`` or ``min`` doc_id stays."""
     if keep not in ("max", "min"):
         raise ValueError("keep is 'max' or 'min'")
-    narrow = docs.select(F.monotonically_increasing_id().alias(ROW), docs["doc_id"].cast("long").alias("doc_id"), "text")
-    folded = by_slices(narrow, _fold(keep == "max", hasher), _FOLDED, budget=4 * SLICE_BYTES)
-    rows = folded.select("row", "doc_id", "owner", "sha")
-    settled = (
-        folded.where("body is not null")
-        .select("owner", "n", "h", "best_id", "best_row", "size", "body")
-        .repartition("n", "h")
-        .sortWithinPartitions("n", "h", "best_id", "best_row")
-        .mapInArrow(_settle(keep == "max"), _SETTLED)
-    )
-    return rows.join(settled, "owner").select(
-        F.col("row").alias(ROW), "doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"),
-        F.col("sha").alias("text_sha256"),
+    narrow = in_place(docs).select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    folded = stash(by_slices(narrow, _fold(keep == "max", hasher), _FOLDED, budget=4 * SLICE_BYTES), "folded")
+    settled = _settled(folded.where("body is not null").select(*_BODY), keep == "max")
+    return folded.select("row", "doc_id", "owner", "sha").join(settled, "owner").select(
+        F.col("row").alias(row), "doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), F.col("sha").alias("text_sha256"),
     )
 
 
 def drop_copies(docs: DataFrame, keep: str = "max") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns. What is shuffled beside the texts is
     the dropped rows' places, usually the lesser part."""
-    gone = exact_groups(docs, keep).where("not kept").select(ROW)
-    placed = clear_of(docs, ROW).withColumn(ROW, F.monotonically_increasing_id())
-    return placed.join(gone, ROW, "left_anti").drop(ROW)
+    docs = in_place(docs)
+    row = free_name(docs, ROW)
+    gone = exact_groups(docs, keep, row=row).where("not kept").select(row)
+    return docs.withColumn(row, F.monotonically_increasing_id()).join(gone, row, "left_anti").drop(row)
