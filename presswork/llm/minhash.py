@@ -1,50 +1,52 @@
 """Document fingerprints by MinHash: universal hash permutations over five-word shingles in numpy.
 
-Permutation ``k`` takes a 32-bit shingle hash ``x`` to ``a_k x + b_k`` modulo 2**32 (``a_k`` odd, so it is
-one-to-one), and a signature component is the least value over a text's shingles. A fingerprint is
-128 components of 16 bits, in hexadecimal. ``near_classes`` joins 32 bands of 4 in Spark and verifies
+Permutation ``k`` takes a 32-bit shingle hash ``x`` to the high 32 bits of ``a_k x + b_k`` modulo 2**64 with 64-bit ``a_k`` and
+``b_k`` (multiply-add-shift, a strongly universal family), and a signature component is the least value over a text's shingles. A
+fingerprint is 128 components of 16 bits, in hexadecimal. ``near_classes`` joins 32 bands of 4 in Spark and verifies
 the Jaccard of the shingle sets on the texts.
 
 ``edited_fingerprints`` is the edit test: each text against itself with its last third replaced by the
-beginning of the next document's, in descending doc_id. For that the rows are put in order by blocks of
-ids (quantiles, found first), each block also getting the first row of the one after it,
-so texts are shuffled once and no task sees more than a block.
+beginning of the next document's, in descending doc_id. Ids, row places and sizes alone are sorted first, and cut into blocks of
+``BLOCK_BYTES`` of text by (id, place), so one id or none at all is cut like any others. A block also gets the first row of the one after it, so
+texts are shuffled once and no task sees more than a block. The blocks' first rows, 16 bytes for each ``BLOCK_BYTES`` of the
+corpus (25 MB for 100 TB), are what the driver and the workers hold.
 
 Defined cases: a null text counts as empty; a text without words has the fingerprint of no shingles,
 which is like itself alone; null ids come last; rows with equal ids follow each other in table order; of one row
-only, the next is itself.
+only, the next is itself. Rows are known by their place in the table; what isn't a scan of files is written to one first.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import near
-from .common import SLICE_BYTES, pa_schema, text_or_empty
+from .common import SLICE_BYTES, in_place, pa_schema, slices, text_or_empty
 from .near import Scheme
 from .shingles import shingles
 
 COMPONENTS, BANDS, ROWS, THRESHOLD = 128, 32, 4, 0.8
-#: Blocks of ids; the list of their bounds and first rows is what the driver sees.
-BLOCKS = 64
+#: Bytes of text that one task puts in order and fingerprints.
+BLOCK_BYTES = 64 << 20
 
 _rng = np.random.default_rng(20240601)
-_A = (_rng.integers(0, 1 << 32, COMPONENTS, np.uint64).astype(np.uint32) | np.uint32(1))[:, None]
-_B = _rng.integers(0, 1 << 32, COMPONENTS, np.uint64).astype(np.uint32)[:, None]
+_A = _rng.integers(0, 1 << 64, COMPONENTS, np.uint64)[:, None]
+_B = _rng.integers(0, 1 << 64, COMPONENTS, np.uint64)[:, None]
 #: Shingles that are permuted together: a block of 128 by this many stays in cache.
 STEP = 512
 
 
 def signatures(x: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Texts by 128 least values, of the shingles ``x``, ``n`` per text; all ones without shingles."""
-    low = (x >> np.uint64(32)).astype(np.uint32)
-    out = np.full((len(n), COMPONENTS), 0xFFFFFFFF, np.uint32)
+    low = x >> np.uint64(32)
+    out = np.full((len(n), COMPONENTS), 0xFFFFFFFFFFFFFFFF, np.uint64)
     at = 0
     for k, count in enumerate(n.tolist()):
         for lo in range(at, at + count, STEP):
@@ -52,11 +54,11 @@ def signatures(x: np.ndarray, n: np.ndarray) -> np.ndarray:
             block += _B
             np.minimum(out[k], block.min(1), out=out[k])
         at += count
-    return out
+    return (out >> np.uint64(32)).astype(np.uint32)
 
 
 def short(sig: np.ndarray) -> np.ndarray:
-    """The 16 bits of each component that a fingerprint keeps."""
+    """The 16 bits of each component that a fingerprint keeps, of a mix of all its bits."""
     return ((sig * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype(">u2")
 
 
@@ -121,39 +123,100 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows in order of their blocks; a block's last row is the one that follows it."""
     at, held, size = None, [], 0
     for batch in batches:
-        for block, doc, text in zip(*(batch.column(c).to_pylist() for c in ("block", "doc_id", "text")), strict=True):
-            if block == at and held and size > SLICE_BYTES // 2:
-                yield _digest(held, text)
-                held, size = [], 0
-            elif block != at:
-                if len(held) > 1:
-                    yield _digest(held[:-1], held[-1][1])
-                at, held, size = block, [], 0
-            held.append((doc, text))
-            size += len(text)
+        for part in slices(batch, "text"):
+            for block, doc, text in zip(*(part.column(c).to_pylist() for c in ("block", "doc_id", "text")), strict=True):
+                if block == at and held and size > SLICE_BYTES // 2:
+                    yield _digest(held, text)
+                    held, size = [], 0
+                elif block != at:
+                    if len(held) > 1:
+                        yield _digest(held[:-1], held[-1][1])
+                    at, held, size = block, [], 0
+                held.append((doc, text))
+                size += len(text)
     if len(held) > 1:
         yield _digest(held[:-1], held[-1][1])
 
 
-def edited_fingerprints(docs: DataFrame, blocks: int = BLOCKS) -> DataFrame:
+class Bounds:
+    """First rows of the blocks, in order: by id descending, null ids last, then by place."""
+
+    def __init__(self, heads: list[tuple[int | None, int]]):
+        known = [h for h in heads if h[0] is not None]
+        self.ids = np.array([~h[0] for h in known], np.int64)  # ~ turns the order round
+        self.rows = np.array([h[1] for h in known], np.int64)
+        self.nulls = np.array([h[1] for h in heads if h[0] is None], np.int64)
+        self.first = {h[1] for h in heads}
+
+    def block(self, ids: np.ndarray, none: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Of each row (id, whether it has none, place) the last block whose first row isn't after it."""
+        out = np.empty(len(at), np.int64)
+        turned = ~ids
+        low, high = np.searchsorted(self.ids, turned, "left"), np.searchsorted(self.ids, turned, "right")
+        out[:] = low
+        split = np.flatnonzero(high > low)  # ids that begin a block, perhaps several
+        for k in np.unique(low[split]):
+            mine = split[low[split] == k]
+            out[mine] = k + np.searchsorted(self.rows[k : high[mine[0]]], at[mine], "right")
+        out[none] = len(self.ids) + np.searchsorted(self.nulls, at[none], "right")
+        return out - 1
+
+
+def _heads(block: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of rows (doc_id, row, size) in order, each that begins a block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        room = 0
+        for batch in batches:
+            ends = np.cumsum(batch.column("size").to_numpy())
+            picked, at = [], 0
+            while at < len(ends):
+                base = ends[at - 1] if at else 0
+                if room <= 0:
+                    picked.append(at)
+                    room = block
+                upto = min(int(np.searchsorted(ends, base + room, "left")) + 1, len(ends))
+                room -= int(ends[upto - 1] - base)
+                at = upto
+            if picked:
+                yield batch.select(["doc_id", "row"]).take(pa.array(picked))
+
+    return run
+
+
+def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
     spark = docs.sparkSession
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_or_empty().alias("text"), F.monotonically_increasing_id().alias("_row"))
-    bounds = sorted({int(b) for b in rows.approxQuantile("doc_id", [k / blocks for k in range(1, blocks)], 0.2 / blocks)}, reverse=True)
-    above = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]).cast("array<bigint>"), lambda b: b > F.col("doc_id")))
-    placed = rows.withColumn("block", F.when(F.col("doc_id").isNull(), len(bounds) + 1).otherwise(above))
-    first = F.min_by(F.col("_row"), F.struct(-F.coalesce("doc_id", F.lit(0)).cast("decimal(20,0)"), F.col("_row")))
-    heads = {r["block"]: r["head"] for r in placed.drop("text").groupBy("block").agg(first.alias("head")).collect()}  # blocks + 1 rows at most
+    rows = in_place(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), F.monotonically_increasing_id().alias("row"))
+    order = [F.col("doc_id").desc_nulls_last(), F.col("row")]
+    sizes = rows.select("doc_id", "row", (F.octet_length("text") + 64).cast("long").alias("size"))
+    heads = [(r["doc_id"], r["row"]) for r in sizes.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_heads(BLOCK_BYTES), "doc_id long, row long").collect()]
     if not heads:
         return spark.createDataFrame([], _OUT)
-    order = sorted(heads)
-    also = {heads[b]: order[k - 1] for k, b in enumerate(order)}  # the first block's head ends the last block
-    given = F.create_map(*[F.lit(v) for pair in also.items() for v in pair])
-    seats = F.when(F.col("_row").isin(list(also)), F.array(F.struct(F.col("block"), F.lit(0).alias("last")), F.struct(given[F.col("_row")].alias("block"), F.lit(1).alias("last")))).otherwise(
-        F.array(F.struct(F.col("block"), F.lit(0).alias("last")))
-    )
+    heads.sort(key=lambda h: (h[0] is None, -(h[0] or 0), h[1]))
+    shared = spark.sparkContext.broadcast(heads)
+
+    @F.pandas_udf("array<long>")
+    def seats(ids: pd.Series, none: pd.Series, places: pd.Series) -> pd.Series:
+        """A row's block, and for a block's first row also the block before it; the first block's goes with the last."""
+        bounds = _bounds(shared)
+        blocks = bounds.block(ids.to_numpy(np.int64), none.to_numpy(bool), places.to_numpy(np.int64)).tolist()
+        return pd.Series([[b, b - 1 if b else len(bounds.first) - 1] if r in bounds.first else [b] for b, r in zip(blocks, places.tolist(), strict=True)])
+
+    placed = rows.withColumn("seats", seats(F.coalesce("doc_id", F.lit(0)), F.col("doc_id").isNull(), "row")).select(F.posexplode("seats").alias("last", "block"), "doc_id", "row", "text")
     return (
-        placed.withColumn("seat", F.explode(seats)).select(F.col("seat.block").alias("block"), F.col("seat.last").alias("last"), "doc_id", "_row", "text")
-        .repartition("block").sortWithinPartitions("block", "last", F.col("doc_id").desc_nulls_last(), "_row")
+        placed.repartition("block").sortWithinPartitions("block", "last", *order)
         .select("block", "doc_id", "text").mapInArrow(_walk, _OUT)
     )
+
+
+_BOUNDS: dict[int, Bounds] = {}
+
+
+def _bounds(shared) -> Bounds:
+    """Made once per worker and broadcast."""
+    key = id(shared.value)
+    if key not in _BOUNDS:
+        _BOUNDS.clear()
+        _BOUNDS[key] = Bounds(shared.value)
+    return _BOUNDS[key]
