@@ -95,4 +95,4 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def drop_near_copies(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row of each class, the one with the least doc_id, with all columns."""
-    return near.keep_one(docs, near_classes(docs, threshold))
+    return near.keep_one(docs, scheme(threshold))

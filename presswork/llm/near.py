@@ -13,8 +13,10 @@
    near copies costs its size, not its square.
 4. Components of all links give the classes.
 
-A text travels once per round to the block where its candidates are verified, blocks being parts of
-at most ``BLOCK_NODES`` nodes of a family. Nothing is collected to the driver.
+A text travels once per round to each block where its candidates are verified, blocks being parts of some
+``BLOCK_NODES`` pairs: of a family, or of one node's partners where these are more. Nothing is collected to the driver.
+The answer goes back to the rows over their bags' hashes; those that more than a ``HEAVY``-th of all rows have are fewer than
+``HEAVY``, so they are broadcast and only the others are shuffled. Tables that a later step doesn't read are deleted.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_slices, list_array, pa_schema, slices, stash
+from .common import by_slices, free_name, in_place, list_array, pa_schema, release, slices, stash
 from .shingles import bags, likeness, mix
 
 BLOCK_NODES, CHUNK_NODES = 128, 2000
@@ -37,6 +39,8 @@ SKETCHED = 1 << 20
 #: Standard deviations of the signature's estimate below the threshold at which a candidate is left.
 SIGMAS = 4.5
 ROW = "_near_row"
+#: A share of one in so many rows makes a bag heavy.
+HEAVY = 1000
 
 Sketch = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 
@@ -80,7 +84,7 @@ def _signed(scheme: Scheme) -> Callable[[pa.RecordBatch], dict[str, object]]:
         keys = keys[n > 0]  # a text without shingles has its equals already
         short = (sig & 255).astype(np.uint8)
         return {
-            "row": part.column(ROW), "doc_id": part.column("doc_id"), "b1": pa.array(sums[0]), "b2": pa.array(sums[1]),
+            "row": part.column("row"), "doc_id": part.column("doc_id"), "b1": pa.array(sums[0]), "b2": pa.array(sums[1]),
             "size": pa.array(size.astype(np.int64)), "sig": pa.array([s.tobytes() for s in short], pa.binary()),
             "bands": list_array(keys.reshape(-1), np.where(n > 0, scheme.bands, 0)),
         }
@@ -91,24 +95,35 @@ def _signed(scheme: Scheme) -> Callable[[pa.RecordBatch], dict[str, object]]:
 _SIGNED = "row long, doc_id long, b1 long, b2 long, size long, sig binary, bands array<long>"
 
 
-def near_classes(docs: DataFrame, scheme: Scheme) -> DataFrame:
-    """One row per row of ``docs``: its place ``_near_row``, doc_id, class_id (the least doc_id of the
+def near_classes(docs: DataFrame, scheme: Scheme, row: str = ROW) -> DataFrame:
+    """One row per row of ``docs``: its place (``row``), doc_id, class_id (the least doc_id of the
     class), class_rows, and kept (true for one row of the class, with that doc_id). Null ids are less than others."""
+    docs = in_place(docs)
     nodes, rows = _nodes(docs, scheme)
-    one, labels, two = _rounds(docs, scheme, nodes)
+    one, stars, two = _rounds(docs, scheme, nodes)
     # the stars of round one and the links of round two
-    labels = components(labels.where("node != label").select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(two.select("a", "b")))
+    labels = components(stars.where("node != label").select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(two.select("a", "b")))
     own = nodes.select("node", F.col("first.doc_id").alias("d"), "copies")
     full = own.join(labels, "node", "left").withColumn("class", F.coalesce("label", "node"))
     classes = full.groupBy("class").agg(F.min(F.struct("d", "node")).alias("best"), F.sum("copies").alias("class_rows"))
-    told = full.select("node", "class").join(classes, "class").select("node", "best", "class_rows")
-    return rows.join(nodes.select("b1", "b2", "node"), ["b1", "b2"]).join(told, "node").select(
-        F.col("row").alias(ROW), "doc_id", F.col("best.d").alias("class_id"), "class_rows", (F.col("row") == F.col("best.node")).alias("kept")
+    told = stash(
+        full.select("node", "class").join(classes, "class").select("node", "best", "class_rows")
+        .join(nodes.select("b1", "b2", "node", "copies"), "node").select("b1", "b2", "copies", "best", "class_rows"),
+        "told",
+    )
+    release(nodes, one, stars, two)
+    # a heavy bag's copies stay where they are
+    total = told.agg(F.sum("copies").alias("_all"))
+    heavy = F.broadcast(told.crossJoin(F.broadcast(total)).where(F.col("copies") * HEAVY > F.col("_all")).drop("_all"))  # fewer than HEAVY rows
+    bag = ["b1", "b2"]
+    answered = rows.join(heavy, bag).unionByName(rows.join(heavy.select(*bag), bag, "left_anti").join(told, bag))
+    return answered.select(
+        F.col("row").alias(row), "doc_id", F.col("best.d").alias("class_id"), "class_rows", (F.col("row") == F.col("best.node")).alias("kept")
     )
 
 
 def _nodes(docs: DataFrame, scheme: Scheme) -> tuple[DataFrame, DataFrame]:
-    narrow = docs.select(F.monotonically_increasing_id().alias(ROW), docs["doc_id"].cast("long").alias("doc_id"), "text")
+    narrow = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = stash(by_slices(narrow, _signed(scheme), _SIGNED, budget=SKETCHED), "signed")
     rows = signed.select("row", "doc_id", "b1", "b2")
     grouped = rows.groupBy("b1", "b2").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.count("*").alias("copies"))
@@ -120,6 +135,7 @@ def _nodes(docs: DataFrame, scheme: Scheme) -> tuple[DataFrame, DataFrame]:
 def near_links(docs: DataFrame, scheme: Scheme) -> DataFrame:
     """Verified links (a, b, jaccard) between nodes, enough of them that every pair at or over the
     threshold that shares a band is in one component."""
+    docs = in_place(docs)
     one, _, two = _rounds(docs, scheme, _nodes(docs, scheme)[0])
     return one.unionByName(two)
 
@@ -136,7 +152,7 @@ def _rounds(docs: DataFrame, scheme: Scheme, nodes: DataFrame) -> tuple[DataFram
         .where(F.least("size", "lead.size") >= scheme.threshold * F.greatest("size", "lead.size"))
         .select(F.col("lead.node").alias("a"), F.col("node").alias("b")).distinct()
     )
-    one = stash(_verified(_plausible(pairs, nodes, scheme), texts, scheme), "links")
+    one = _verified(_plausible(pairs, nodes, scheme), texts, scheme)
     labels = stash(components(one), "labels")
 
     # round two: buckets with more than one component
@@ -159,7 +175,8 @@ def _rounds(docs: DataFrame, scheme: Scheme, nodes: DataFrame) -> tuple[DataFram
         .select("key", "chunk", "kind", "node", "comp", "size", "sig")
         .mapInArrow(_compare(scheme), "a long, b long")
     )
-    two = stash(_verified(compared.distinct(), texts, scheme), "links")
+    two = _verified(compared.distinct(), texts, scheme)
+    release(shared, inside)
     return one, labels, two
 
 
@@ -226,14 +243,15 @@ def _compare(scheme: Scheme) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
 
 def _verified(pairs: DataFrame, texts: DataFrame, scheme: Scheme) -> DataFrame:
     """Pairs at or over the threshold, computed on the texts' bags. The nodes ``b`` of one least
-    partner form a family, cut into blocks; a block gets each text that it needs once."""
+    partner form a family, cut into blocks; a node with more partners than a block takes is cut by these. A block
+    gets each text that it needs once."""
     pairs = stash(pairs, "pairs")
     fam = pairs.groupBy("b").agg(F.min("a").alias("family"), F.count("*").alias("k"))
-    crowd = fam.groupBy("family").agg(F.sum("k").alias("n"))
-    home = fam.join(crowd, "family").select(
-        "b", F.xxhash64("family", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / BLOCK_NODES))).alias("block")
-    )
-    sent = pairs.join(home, "b").select("block", "a", "b")
+    crowd = fam.where(F.col("k") <= BLOCK_NODES).groupBy("family").agg(F.sum("k").alias("n"))
+    home = fam.join(crowd, "family", "left").select("b", "family", "k", "n")
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.ceil(F.col(n) / BLOCK_NODES))
+    block = F.when(F.col("k") > BLOCK_NODES, F.xxhash64("b", part("a", "k"))).otherwise(F.xxhash64("family", part("b", "n")))
+    sent = pairs.join(home, "b").select(block.alias("block"), "a", "b")
     wanted = stash(sent.select("block", F.col("b").alias("node")).unionByName(sent.select("block", F.col("a").alias("node"))).distinct(), "wanted")
     # two numbers a row: where they are few, all texts needn't be shuffled to find theirs
     near = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
@@ -267,25 +285,23 @@ def _verified(pairs: DataFrame, texts: DataFrame, scheme: Scheme) -> DataFrame:
                 if got:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*got, strict=True), target, strict=True)], schema=target)
 
-    return (
-        bodies.unionByName(asked).repartition("block").sortWithinPartitions("block", "kind", "node")
-        .mapInArrow(run, schema)
-    )
+    links = stash(bodies.unionByName(asked).repartition("block").sortWithinPartitions("block", "kind", "node").mapInArrow(run, schema), "links")
+    release(pairs, wanted)
+    return links
 
 
-def components(links: DataFrame, most: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """node, label (the component's least node) of every node in ``links`` (a, b), by alternating
-    large-star and small-star steps on tables in the shared folder until nothing changes. Minima
+    large-star and small-star steps on tables in the shared folder until nothing changes, which each step brings nearer. Minima
     are partial aggregates joined back, so a node with any number of links is no hot spot for memory."""
     edges = stash(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "edges")
 
     def mark(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
-    was = mark(edges)
-    for _ in range(most):
-        if not was[0]:
-            break
+    was, now = None, mark(edges)
+    while now[0] and now != was:
+        was, old = now, edges
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -296,18 +312,15 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
             .unionByName(low.select("u", F.col("m").alias("v"))).where("u != v").distinct(),
             "edges",
         )
+        release(old)
         now = mark(edges)
-        if now == was:
-            break
-        was = now
-    else:
-        raise RuntimeError("components did not settle")
     tops = edges.select(F.col("v").alias("node")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(tops.select("node", F.col("node").alias("label")))
 
 
-def keep_one(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that ``near_classes`` keeps, with all their columns."""
-    gone = classes.where("not kept").select(ROW)
-    placed = docs.drop(*[c for c in docs.columns if c.lower() == ROW]).withColumn(ROW, F.monotonically_increasing_id())
-    return placed.join(gone, ROW, "left_anti").drop(ROW)
+def keep_one(docs: DataFrame, scheme: Scheme) -> DataFrame:
+    """One row of each class, the one that ``near_classes`` keeps, with all its columns."""
+    docs = in_place(docs)
+    row = free_name(docs, ROW)
+    gone = near_classes(docs, scheme, row).where("not kept").select(row)
+    return docs.withColumn(row, F.monotonically_increasing_id()).join(gone, row, "left_anti").drop(row)
