@@ -8,9 +8,12 @@ block from its share. The schedule repeats, so it is worked out for one frame (a
 folded from a literal, however large the corpus) and block ``k`` of the corpus takes slot
 ``(k div w_s) * frame + slot[s][k mod w_s]``.
 
-Within a source, rows are ordered by the md5 of their id. Ranks don't sort a source in one task: its
-rows are cut into 4096 ranges by the first three digits of that md5, counted (with a partial
-aggregate), and a row's rank is the rows in earlier ranges plus its rank in its own.
+Within a source, rows are ordered by the md5 of their id, then by their place in the table. Ranks don't sort a source in one task: its
+rows are cut into ranges by the first digits of that md5, as many digits as leave about ``RANGE_ROWS`` rows of the largest source
+in a range, counted (with a partial aggregate), and a row's rank is the rows in earlier ranges plus its rank in its own. An id that
+more than a ``HEAVY``-th of all rows have (or none at all) would fill a range: its rows are cut by their place further.
+
+For more than ``SQL_SOURCES`` sources the same schedule is worked out with a heap on the driver, as a table of the frame's rows.
 
 Defined cases: a null source is a source of its own, "(null)"; a null id has the md5 of the empty
 text; ties and repeated rows get different ranks; an empty table gives an empty result; clashing columns of the
@@ -20,17 +23,21 @@ No row is dropped: when a source runs out, its slots stay empty and the order of
 
 from __future__ import annotations
 
+import heapq
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import clear_of
+from .common import clear_of, in_place
 
 FRAME, BLOCK_ROWS = 840, 4
 NULL_SOURCE = "(null)"
-#: Most sources for which a frame is worked out; the target weights are a parameter of this size.
-MAX_SOURCES = 10_000
+#: Most sources whose frame is folded in SQL.
+SQL_SOURCES = 500
+#: Rows of a source in a range that one task ranks; a share of one in so many rows makes an id heavy.
+RANGE_ROWS, HEAVY = 1_000_000, 1000
 
 
 def quantised(weights: dict[str, float], frame: int) -> dict[str, int]:
@@ -67,17 +74,57 @@ def frame_sql(slots: dict[str, int], frame: int) -> str:
     """
 
 
+def frame_rows(slots: dict[str, int], frame: int) -> list[tuple[str, int, int, int]]:
+    """The same rows as ``frame_sql``: the released block that is due first, of equals the first source."""
+    names = sorted(slots)
+    waiting = [(0, i) for i in range(len(names))]  # (release, source), a heap
+    ready: list[tuple[int, int]] = []  # (due, source), a heap
+    following, out = [0] * len(names), []
+    for t in range(frame):
+        while waiting and waiting[0][0] <= t:
+            _, i = heapq.heappop(waiting)
+            w = slots[names[i]]
+            heapq.heappush(ready, (((following[i] + 1) * frame + w - 1) // w, i))
+        _, i = heapq.heappop(ready)
+        w, k = slots[names[i]], following[i]
+        out.append((names[i], w, k, t))
+        following[i] = k + 1
+        if k + 1 < w:
+            heapq.heappush(waiting, ((k + 1) * frame // w, i))
+    return out
+
+
 def _md5(doc_id: str) -> Column:
     return F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")))
 
 
 def default_weights(docs: DataFrame) -> dict[str, float]:
     """Square roots of the sources' sizes, counted over all rows: large sources are held back, small
-    ones raised. Reads one column; the result has a row per source, at most ``MAX_SOURCES``."""
-    counts = docs.groupBy(F.coalesce(F.col("source"), F.lit(NULL_SOURCE)).alias("s")).count().limit(MAX_SOURCES + 1).collect()
-    if len(counts) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    return {r["s"]: float(r["count"]) ** 0.5 for r in counts}
+    ones raised."""
+    return {s: n**0.5 for s, n in sizes_of(docs).items()}
+
+
+def sizes_of(docs: DataFrame) -> dict[str, int]:
+    """Rows per source. Reads one column; the result has a row per source, as the target weights do that go with it."""
+    return {r["s"]: r["count"] for r in docs.groupBy(F.coalesce(F.col("source"), F.lit(NULL_SOURCE)).alias("s")).count().collect()}
+
+
+def _range(docs: DataFrame, rows: int, largest: int) -> Column:
+    """The range of a row, in the order of (md5, place): the md5's first digits, and where there are heavy ids how many of their md5s are
+    before the row's; at one of them also the row's input partition."""
+    digits = 3
+    while digits < 16 and 16**digits * RANGE_ROWS < largest:
+        digits += 1
+    ids = docs.groupBy(F.col("doc_id").cast("string").alias("d")).count().where(F.col("count") * HEAVY > max(rows, HEAVY * RANGE_ROWS // 16))
+    heavy = sorted(r["m"] for r in ids.select(_md5("d").alias("m")).collect())  # fewer than HEAVY
+    part = F.substring("_mix_md5", 1, digits)
+    if not heavy:
+        return part
+    list_ = F.array(*[F.lit(m) for m in heavy])
+    passed = F.size(F.filter(list_, lambda m: m < F.col("_mix_md5")))
+    place = F.shiftright("_mix_row", 33)  # the input partition
+    at = F.array_contains(list_, F.col("_mix_md5"))
+    return F.concat(part, F.lpad(passed.cast("string"), 4, "0"), F.when(at, F.concat(F.lit("b"), F.lpad(place.cast("string"), 10, "0"))).otherwise("a"))
 
 
 def pfair_order(docs: DataFrame, weights: dict[str, float] | None = None, frame: int = FRAME, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -86,11 +133,11 @@ def pfair_order(docs: DataFrame, weights: dict[str, float] | None = None, frame:
     spark = docs.sparkSession
     added = ("mix_rank", "mix_block", "mix_slot", "mix_due", "_mix_source", "_mix_md5", "_mix_part", "_mix_row")
     docs = clear_of(docs, *added)
-    known = default_weights(docs) if weights is None else dict(weights)
+    sizes = sizes_of(docs)
+    known = {s: n**0.5 for s, n in sizes.items()} if weights is None else dict(weights)
     if weights is not None:
-        seen = default_weights(docs)
         left = max(0.0, 1.0 - sum(known.values()))
-        new = [s for s in seen if s not in known]
+        new = [s for s in sizes if s not in known]
         known |= {s: (left / len(new)) or min(known.values()) / frame for s in new}
     if not known:
         empty = docs
@@ -99,15 +146,19 @@ def pfair_order(docs: DataFrame, weights: dict[str, float] | None = None, frame:
         return empty
     frame = max(frame, 2 * len(known))
     slots = quantised(known, frame)
-    plan = spark.sql(frame_sql(slots, frame))  # frame rows, whatever the corpus
+    # frame rows, whatever the corpus
+    if len(slots) <= SQL_SOURCES:
+        plan = spark.sql(frame_sql(slots, frame))
+    else:
+        plan = spark.createDataFrame(frame_rows(slots, frame), "name string, w long, k long, slot long")
 
     keyed = (
         docs.withColumn("_mix_source", F.coalesce(F.col("source"), F.lit(NULL_SOURCE)))
         .withColumn("_mix_md5", _md5("doc_id"))
-        .withColumn("_mix_part", F.substring("_mix_md5", 1, 3))
         .withColumn("_mix_row", F.monotonically_increasing_id())
     )
-    # rows before each range of a source: sources x 4096 counts at most
+    keyed = keyed.withColumn("_mix_part", _range(docs, sum(sizes.values()), max(sizes.values(), default=0)))
+    # rows before each range of a source
     before = (
         keyed.groupBy("_mix_source", "_mix_part").count()
         .select("_mix_source", "_mix_part", (F.sum("count").over(Window.partitionBy("_mix_source").orderBy("_mix_part")) - F.col("count")).alias("_mix_before"))
@@ -116,12 +167,13 @@ def pfair_order(docs: DataFrame, weights: dict[str, float] | None = None, frame:
     ranked = keyed.withColumn("_mix_in", F.row_number().over(within)).join(before, ["_mix_source", "_mix_part"])
     ranked = ranked.withColumn("mix_rank", F.col("_mix_before") + F.col("_mix_in") - 1)
     ranked = ranked.withColumn("mix_block", F.floor(F.col("mix_rank") / block_rows))
-    sizes = spark.createDataFrame([(n, w) for n, w in sorted(slots.items())], "name string, _mix_w long")
-    ranked = ranked.join(F.broadcast(sizes), ranked["_mix_source"] == sizes["name"]).drop("name")
+    shares = spark.createDataFrame([(n, w) for n, w in sorted(slots.items())], "name string, _mix_w long")
+    few = F.broadcast if len(slots) <= SQL_SOURCES else lambda df: df
+    ranked = ranked.join(few(shares), ranked["_mix_source"] == shares["name"]).drop("name")
     ranked = ranked.withColumn("_mix_k", F.col("mix_block") % F.col("_mix_w"))
     place = plan.select(F.col("name").alias("_mix_name"), F.col("k").alias("_mix_pk"), F.col("slot").alias("_mix_at"))
     placed = ranked.join(
-        F.broadcast(place), (ranked["_mix_source"] == place["_mix_name"]) & (ranked["_mix_k"] == place["_mix_pk"])
+        few(place), (ranked["_mix_source"] == place["_mix_name"]) & (ranked["_mix_k"] == place["_mix_pk"])
     )
     base = F.expr("mix_block div _mix_w") * frame
     return (
@@ -131,16 +183,25 @@ def pfair_order(docs: DataFrame, weights: dict[str, float] | None = None, frame:
     )
 
 
+def placed(docs: DataFrame, weights: dict[str, float] | None = None, row: str = "_mix_place") -> DataFrame:
+    """Of every row its place in the table (``row``), mix_slot and mix_rank; reads ids and sources only. It is the same for any table with the
+    same ids and sources, rows that agree in both being free to change places."""
+    narrow = in_place(docs).select(F.monotonically_increasing_id().alias(row), "doc_id", "source")
+    return pfair_order(narrow, weights).select(row, "mix_slot", "mix_rank")
+
+
 def mixed(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """The rows of ``docs`` in the order of the mix, with all the columns of ``docs``, of whatever name. The order is that
-    of the files when written: ranges of slots, sorted within."""
-    whole = docs.select("doc_id", "source", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_mix_whole"))
-    return pfair_order(whole, weights).orderBy("mix_slot", "mix_rank").select("_mix_whole.*")
+    of the files when written: ranges of slots, sorted within. Texts aren't ranked, only joined to their places; who reads the files
+    gets the places again from ``placed``."""
+    docs = in_place(docs)
+    row, whole = "_mix_place", docs.select(F.monotonically_increasing_id().alias("_mix_place"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_mix_whole"))
+    return whole.join(placed(docs, weights, row), row).orderBy("mix_slot", "mix_rank").select("_mix_whole.*")
 
 
 def mix_digest(docs: DataFrame) -> DataFrame:
     """What the query returns: the place of every document, without its text."""
-    return pfair_order(docs.select(docs["doc_id"].cast("long").alias("doc_id"), "source")).select("doc_id", "source", "mix_rank", "mix_block", "mix_slot", "mix_due")
+    return pfair_order(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source")).select("doc_id", "source", "mix_rank", "mix_block", "mix_slot", "mix_due")
 
 
 #: The same rows by DuckDB: sizes counted, slots quantised and one frame folded in SQL.
