@@ -66,6 +66,12 @@ class MergeTable:
             raw = bytes(letters[c] for c in core)
             (self.final if ends else self.inner)[raw] = i
             self.length[i] = len(raw)
+        #: What a token's string is in UTF-8, and what it stands for: bytes, a blank after a word's end, a special token's own name.
+        self.said = [s.encode("utf-8", "surrogatepass") for s in self.strings]
+        self.bytes = list(self.said)
+        for raws, gap in ((self.inner, b""), (self.final, b" ")):
+            for raw, i in raws.items():
+                self.bytes[i] = raw + gap
         self._pairs: dict[int, bool] = {}
         self._wholes: dict[int, bool] = {}
         # a token that its own text doesn't encode to never occurs

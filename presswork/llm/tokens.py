@@ -2,7 +2,8 @@
 
 ``encode_documents`` runs a bounded-lookahead streaming transducer over every text: words come off
 the text one after another, a word's tokens are emitted as soon as no later byte can change them,
-and only the bytes after the last settled token are held. ``count_tokens`` keeps, for every prefix,
+and only the bytes after the last settled token are held, in words of any length and in texts without white space. The ids go
+through an incremental decoder that holds no more than the bytes of one unfinished character. ``count_tokens`` keeps, for every prefix,
 the exact number of tokens (prefix dynamic programming), so truncation and budgets need no second
 encoding.
 
@@ -13,6 +14,7 @@ repeated results; other columns are left alone (the query selects its own).
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 import unicodedata
 from array import array
@@ -22,6 +24,7 @@ from functools import lru_cache
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .bpe_core import MergeTable
 from .common import by_slices, clear_of
@@ -29,10 +32,12 @@ from .unicode_gap import NEW_LETTERS, NEW_NUMBERS, TO_LOWER
 
 #: Distinct words whose answer a worker remembers, and the longest of them.
 WORDS, WORD_CHARS = 300_000, 48
-#: Words of more bytes than this go through the transducer's window rather than in one go.
-LONG_WORD = 2048
-#: A text is split into words in runs of about so many characters, cut at white space.
+#: Bytes of a word that the transducer is fed at a time.
+FEED = 2048
+#: A text is split into words in runs of about so many characters, cut at white space if there is some, else anywhere.
 RUN_CHARS = 1 << 16
+#: Characters after a word that can change where it ends: those of the longest contraction.
+AHEAD = 3
 
 SPACE = r"\p{White_Space}"
 
@@ -49,7 +54,16 @@ _WORD, _PIECE = _splitters(r"\p{L}", r"\p{N}")
 # for the rare text with characters that are newer than the library's tables
 _NEW = regex.compile(f"[{NEW_LETTERS}{NEW_NUMBERS}]")
 _NEW_WORD, _NEW_PIECE = _splitters(rf"(?:(?![{NEW_LETTERS}])\p{{L}})", rf"(?:(?![{NEW_NUMBERS}])\p{{N}})")
-_GAP = regex.compile(SPACE)
+_GAP, _EDGE = regex.compile(SPACE), regex.compile(rf"\P{{White_Space}}(?={SPACE})")
+
+
+def _kinds(letter: str, number: str) -> tuple[regex.Pattern, ...]:
+    other = rf"(?:(?!{letter}|{number})\P{{White_Space}})"
+    return regex.compile(letter), regex.compile(f"(?:{letter})*"), regex.compile(f"{other}*")
+
+
+_LETTER, _LETTERS, _OTHERS = _kinds(r"\p{L}", r"\p{N}")
+_NEW_LETTER, _NEW_LETTERS, _NEW_OTHERS = _kinds(rf"(?:(?![{NEW_LETTERS}])\p{{L}})", rf"(?:(?![{NEW_NUMBERS}])\p{{N}})")
 
 
 def is_new(text: str) -> bool:
@@ -86,6 +100,10 @@ class WordTransducer:
 
     def __init__(self, merges: MergeTable, lookahead: int):
         self.m, self.lookahead = merges, lookahead
+        self.start()
+
+    def start(self) -> None:
+        """Ready for another word."""
         self.base, self.settled = 0, 0  # byte where the window begins; byte up to which tokens are out
         self.data, self.last = b"", []
 
@@ -95,10 +113,22 @@ class WordTransducer:
         self.m.extend(self.last, self.data[:-1], self.base, False)
         return self._emit(self.base + len(self.last) - self.lookahead)
 
-    def close(self) -> list[int]:
+    def close(self, chunk: bytes = b"") -> list[int]:
+        self.data += chunk
         self.m.extend(self.last, self.data, self.base, True)
         return self._emit(self.base + len(self.last), True)
 
+    def word(self, raw: bytes) -> list[int]:
+        """A whole word, fed piece by piece."""
+        whole = self.m.final.get(raw)  # its own encoding, so nothing to settle
+        if whole is not None:
+            return [whole]
+        self.start()
+        out = []
+        for at in range(0, len(raw) - FEED, FEED):
+            out += self.feed(raw[at : at + FEED])
+        return out + self.close(raw[(len(raw) - 1) // FEED * FEED :])
+
     def _emit(self, limit: int, end: bool = False) -> list[int]:
         if limit <= self.settled:
             return []
@@ -116,6 +146,43 @@ class WordTransducer:
         return out
 
 
+@lru_cache(maxsize=1)
+def joining() -> frozenset[str]:
+    """Characters that a normal form may join to those before them."""
+    later = {chr(c) for c in (*range(0x1161, 0x1176), *range(0x11A8, 0x11C3))}
+    for c in map(chr, range(0x80, 0x110000)):
+        parts = unicodedata.decomposition(c)
+        if unicodedata.combining(c) or parts and parts[0] != "<" and unicodedata.combining(chr(int(parts.split()[0], 16))):
+            later.add(c)
+        if parts and parts[0] != "<":
+            later.update(chr(int(p, 16)) for p in parts.split()[1:])
+    return frozenset(later)
+
+
+class LongWord:
+    """A word that is longer than a run: what it has in common is a kind of character, so each run says how far it goes on."""
+
+    def __init__(self, merges: MergeTable, lookahead: int, begin: str):
+        self.t, self.begin = WordTransducer(merges, lookahead), begin
+        new = _NEW_LETTER if is_new(begin) else _LETTER
+        self.letters = new.match(begin) is not None
+
+    def more(self, run: str) -> int:
+        letters, others = (_NEW_LETTERS, _NEW_OTHERS) if is_new(run) else (_LETTERS, _OTHERS)
+        return (letters if self.letters else others).match(run).end()
+
+    def _pieces(self, run: str) -> Iterator[bytes]:
+        run, self.begin = self.begin + run, ""
+        for at in range(0, len(run), FEED):
+            yield run[at : at + FEED].encode("utf-8", "surrogatepass")
+
+    def feed(self, run: str) -> bytes:
+        return b"".join(array("I", self.t.feed(p)).tobytes() for p in self._pieces(run))
+
+    def close(self, run: str) -> bytes:
+        return self.feed(run) + array("I", self.t.close()).tobytes()
+
+
 class Transducer:
     """Text to tokens for word-end vocabularies: normal form, words, tokens, in runs of bounded size."""
 
@@ -124,27 +191,27 @@ class Transducer:
         self.lookahead = self.m.lookahead()
         self.run_chars = run_chars
         self.special = regex.compile("|".join(map(regex.escape, sorted(self.m.special, key=len, reverse=True))) or r"(?!)")
-        self.memo = Memo(lambda w: array("I", self.word(w)).tobytes())
-
-    def word(self, word: str) -> list[int]:
-        raw = word.encode("utf-8", "surrogatepass")
-        if len(raw) <= LONG_WORD:
-            return self.m.encode_word(raw)
-        t, out = WordTransducer(self.m, self.lookahead), []
-        for at in range(0, len(raw), LONG_WORD):
-            out += t.feed(raw[at : at + LONG_WORD])
-        return out + t.close()
+        self.words = WordTransducer(self.m, self.lookahead)
+        self.memo = Memo(lambda w: array("I", self.words.word(w.encode("utf-8", "surrogatepass"))).tobytes())
 
-    def runs(self, text: str) -> Iterator[str]:
-        """The text in runs that end before white space, across which nothing is ever joined."""
+    def runs(self, text: str) -> Iterator[tuple[str, bool]]:
+        """The text in runs, and whether each ends before white space or with the text, so that no word goes on in the next one. Where
+        there is no white space for long, runs end before a character that no normal form joins to what is before it."""
         at, n = 0, len(text)
         while n - at > self.run_chars:
-            gap = _GAP.search(text, at + self.run_chars)
-            if not gap:
+            gap = _GAP.search(text, at + self.run_chars, at + 2 * self.run_chars)
+            if gap:
+                yield text[at : gap.start()], True
+                at = gap.start()
+                continue
+            end = at + self.run_chars
+            while end < n and text[end] in joining():
+                end += 1
+            if end == n:
                 break
-            yield text[at : gap.start()]
-            at = gap.start()
-        yield text[at:] if at else text
+            yield text[at:end], False
+            at = end
+        yield (text[at:] if at else text), True
 
     def normal(self, text: str) -> str:
         if not text.isascii():
@@ -157,13 +224,37 @@ class Transducer:
 
     def stream(self, text: str) -> Iterator[bytes]:
         """Packed ids (little-endian, 32 bits), run by run."""
+        get = self.memo.__getitem__
         for part in self.split(text):
             if part in self.m.special:
                 yield array("I", [self.m.special[part]]).tobytes()
-            else:
-                for run in self.runs(part):
-                    run = self.normal(run)
-                    yield b"".join(map(self.memo.__getitem__, (_NEW_WORD if is_new(run) else _WORD).findall(run)))
+                continue
+            left, open_ = "", None  # characters whose words may go on, and a long word under way
+            for run, whole in self.runs(part):
+                run = left + self.normal(run) if left else self.normal(run)
+                left, out = "", []
+                pattern = _NEW_WORD if is_new(run) else _WORD
+                if open_ is not None:
+                    more = open_.more(run)
+                    if more == len(run) and not whole:
+                        yield open_.feed(run)
+                        continue
+                    out.append(open_.close(run[:more]))
+                    open_, run = None, run[more:]
+                if whole:
+                    out += map(get, pattern.findall(run))
+                else:
+                    sure = len(run) - AHEAD
+                    for m in pattern.finditer(run):
+                        if m.end() > sure:
+                            left = run[m.start() :]
+                            break
+                        out.append(get(m.group()))
+                    if len(left) > self.run_chars // 2 and (m.end() == len(run)):
+                        open_ = LongWord(self.m, self.lookahead, left)
+                        left = ""
+                        out.append(open_.feed(""))
+                yield b"".join(out)
 
     def split(self, text: str) -> Iterator[str]:
         at = 0
@@ -178,40 +269,24 @@ class Transducer:
 
 
 class Decoder:
-    """Ids to text, incrementally. Without a decoder in the file, the library puts the tokens'
-    strings side by side with blanks; ``readable`` instead gives back bytes and word ends as text,
-    holding the bytes of an unfinished character until it is whole."""
+    """Ids to text, a state machine over bytes: ids in any pieces, characters out as soon as their last byte is in.
 
-    def __init__(self, merges: MergeTable):
-        import codecs
+    A vocabulary file without a decoder has the library put the tokens' strings side by side with blanks (``feed``). The bytes that
+    tokens stand for, with a blank at each word's end, are what ``readable`` gives. Held is an unfinished character."""
 
+    def __init__(self, merges: MergeTable):
         self.m, self.first = merges, True
         self.utf8 = codecs.getincrementaldecoder("utf-8")("replace")
 
     def feed(self, ids: Iterable[int]) -> str:
-        text = " ".join(map(self.m.strings.__getitem__, ids))
-        if text and not self.first:
-            text = " " + text
-        self.first = self.first and not text
-        return text
+        said = b" ".join(map(self.m.said.__getitem__, ids))
+        if said and not self.first:
+            said = b" " + said
+        self.first = self.first and not said
+        return self.utf8.decode(said)
 
     def readable(self, ids: Iterable[int], final: bool = False) -> str:
-        from .bpe_core import byte_alphabet
-
-        letters, suffix, out = byte_alphabet(), self.m.suffix, []
-        special = set(self.m.special.values())
-        for i in ids:
-            s = self.m.strings[i]
-            if i in special:
-                out.append(self.utf8.decode(b"", True) + s)
-                continue
-            ends = bool(suffix) and s.endswith(suffix)
-            out.append(self.utf8.decode(bytes(letters[c] for c in (s[: -len(suffix)] if ends else s))))
-            if ends:
-                out.append(self.utf8.decode(b"", True) + " ")
-        if final:
-            out.append(self.utf8.decode(b"", True))
-        return "".join(out)
+        return self.utf8.decode(b"".join(map(self.m.bytes.__getitem__, ids)), final)
 
 
 @lru_cache(maxsize=2)
@@ -219,9 +294,9 @@ def transducer(path: str) -> Transducer:
     return Transducer(path)
 
 
-def encode_documents(docs: DataFrame, path: str, keep_ids: bool = False) -> DataFrame:
-    """Adds n_tokens, ids_sha256 and decoded_sha256 per document, and with ``keep_ids`` the ids
-    and the decoded text themselves. Row-local: no shuffle, memory bounded by a run of text."""
+def encode_documents(docs: DataFrame, path: str, keep_ids: bool = False, row: str | None = None) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 per document, with ``keep_ids`` the ids and the decoded text themselves,
+    with ``row`` the row's place in the table. Row-local: no shuffle, memory beside the text bounded by a run of it."""
 
     def encode(part: pa.RecordBatch) -> dict[str, object]:
         t = transducer(path)
@@ -244,12 +319,14 @@ def encode_documents(docs: DataFrame, path: str, keep_ids: bool = False) -> Data
             if keep_ids:
                 cols["ids"].append(list(kept))
                 cols["decoded"].append("".join(said))
-        return {"doc_id": part.column("doc_id"), **cols}
+        return {"doc_id": part.column("doc_id"), "_row": part.column("_row") if row else None, **cols}
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     if keep_ids:
         schema += ", ids array<long>, decoded string"
-    return by_slices(docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text"), encode, schema)
+    place = [F.monotonically_increasing_id().alias("_row")] if row else []
+    done = by_slices(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *place), encode, schema + ", _row long" * bool(row))
+    return done.withColumnRenamed("_row", row) if row else done
 
 
 class Counter:
@@ -277,10 +354,26 @@ class Counter:
         if at < len(text):
             yield text[at:], False
 
+    def runs(self, text: str) -> Iterator[str]:
+        """The text in runs that end before white space that follows something else, where a piece always ends."""
+        at = 0
+        while len(text) - at > RUN_CHARS:
+            gap = _EDGE.search(text, at + RUN_CHARS)
+            if not gap:
+                break
+            yield text[at : gap.start() + 1]
+            at = gap.start() + 1
+        yield text[at:] if at else text
+
     def count(self, text: str) -> int:
         total, get = 0, self.totals.__getitem__
         for part, special in self.parts(text):
-            total += 1 if special else sum(map(get, (_NEW_PIECE if is_new(part) else _PIECE).findall(part)))
+            if special:
+                total += 1
+                continue
+            for run in self.runs(part):
+                pieces = _NEW_PIECE if is_new(run) else _PIECE
+                total += sum(map(get, pieces.findall(run) if len(run) <= 2 * RUN_CHARS else (m.group() for m in pieces.finditer(run))))
         return total
 
     def prefixes(self, text: str) -> array:
@@ -362,7 +455,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
         }
 
     return by_slices(
-        docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text"), count,
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), count,
         "doc_id long, n_bytes long, n_tokens long, over_limit boolean",
     )
 
