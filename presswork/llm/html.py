@@ -2,8 +2,8 @@
 
 The builder keeps the stack of open elements: text and what isn't head matter close an open head, block starts close an
 open paragraph, list items, cells, rows, options and definition terms close their like, end tags close what is open inside their element and are ignored
-where it isn't open. Not rendered: head matter (title, style, script, template, ...), ``hidden`` and
-``display: none`` elements with all inside, and ``visibility: hidden`` text until an inner element is
+where it isn't open. Not rendered: head matter (title, style, script, template, ...), ``hidden``,
+``display: none`` and closed ``dialog`` elements with all inside, what stands in a closed ``details`` beside its summary, and ``visibility: hidden`` text until an inner element is
 visible again. Everything else that is text is rendered:
 
 * inline white space folds to one blank, but is kept in ``pre`` and ``textarea``; ``br`` breaks a line;
@@ -14,7 +14,9 @@ visible again. Everything else that is text is rendered:
   from other labels and cells; not their titles, descriptions, annotations and what is shown only where others refer to it
   (``defs``, ``symbol``, clips, masks, markers, patterns); all branches of a ``switch`` are;
 * table cells are padded to the width of their column and parted by `` | ``; a cell of several
-  lines makes the row as high; spanned columns share their cell's width.
+  lines makes the row as high; spanned columns share their cell's width, and spanned rows leave their cell's columns blank. Wide
+  characters count two columns and combining ones none;
+* an ``object`` shows what stands in it, as its file isn't fetched; style sheets aren't read, only ``style`` attributes.
 
 Defined cases: a null page gives a null text, an empty one or one without visible text the empty text; unclosed comments,
 tags and elements end with the page; no nesting depth is too much (no recursion); columns other than page_id,
@@ -26,6 +28,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections import Counter
+from unicodedata import combining, east_asian_width
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -44,7 +47,7 @@ _FOLD = re.compile(r"[ \t\n\f\r]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Never rendered.
-NOTHING = frozenset("head title style script template noembed noframes iframe object audio video canvas datalist base link meta".split())
+NOTHING = frozenset("head title style script template noembed noframes iframe audio video canvas datalist base link meta".split())
 #: Their content is text up to the end tag, whatever it looks like.
 RAW = frozenset("script style title textarea noembed noframes iframe xmp".split())
 #: Blocks; the ones with margins stand apart.
@@ -143,34 +146,57 @@ class Table:
     __slots__ = ("rows", "caption")
 
     def __init__(self) -> None:
-        self.rows: list[list[tuple[list[str], int]]] = []
+        self.rows: list[list[tuple[list[str], int, int]]] = []  # cells: lines, columns, rows
         self.caption: list[str] = []
 
+    def grid(self) -> list[list[tuple[int, list[str], int]]]:
+        """Rows of (first column, lines, columns), cells placed beside those that reach down from rows above."""
+        out, down = [], {}  # column -> rows that are taken yet
+        for r in self.rows:
+            at, row = 0, []
+            for lines, span, deep in r:
+                while down.get(at):
+                    at += 1
+                row.append((at, lines, span))
+                for k in range(at, at + span):
+                    down[k] = max(down.get(k, 0), deep)
+                at += span
+            out.append(row)
+            down = {k: n - 1 for k, n in down.items() if n > 1}
+        return out
+
     def lines(self) -> list[str]:
-        rows = [r for r in self.rows if any(any(lines) for lines, _ in r)]
-        wide = max((sum(span for _, span in r) for r in rows), default=0)
+        rows = [r for r in self.grid() if any(any(lines) for _, lines, _ in r)]
+        wide = max((at + span for r in rows for at, _, span in r), default=0)
         width = [0] * wide
         for single in (True, False):
             for r in rows:
-                at = 0
-                for lines, span in r:
-                    need = max(map(len, lines), default=0)
+                for at, lines, span in r:
+                    need = max(map(columns, lines), default=0)
                     have = sum(width[at : at + span]) + 3 * (span - 1)
                     if (span == 1) == single and need > have:
                         width[at + span - 1] += need - have
-                    at += span
         out = list(self.caption)
         for r in rows:
-            for k in range(max((len(lines) for lines, _ in r), default=0)):
-                at, cells = 0, []
-                for lines, span in r:
+            for k in range(max((len(lines) for _, lines, _ in r), default=0)):
+                upto, cells = 0, []
+                for at, lines, span in r:
+                    cells += [" " * width[c] for c in range(upto, at)]
                     room = sum(width[at : at + span]) + 3 * (span - 1)
-                    cells.append((lines[k] if k < len(lines) else "").ljust(room))
-                    at += span
+                    line = lines[k] if k < len(lines) else ""
+                    cells.append(line + " " * (room - columns(line)))
+                    upto = at + span
                 out.append(" | ".join(cells).rstrip(" "))
         return out
 
 
+def columns(line: str) -> int:
+    """The columns a line takes on a terminal."""
+    if line.isascii():
+        return len(line)
+    return sum(0 if combining(c) else 2 if east_asian_width(c) in "WF" else 1 for c in line)
+
+
 def _given(attrs: str) -> dict[str, str]:
     given: dict[str, str] = {}
     for name, value in _ATTR.findall(attrs):
@@ -178,6 +204,12 @@ def _given(attrs: str) -> dict[str, str]:
     return given
 
 
+def _number(given: dict[str, str], name: str, least: int = 0) -> int:
+    """A span as a page gives it; ``least`` where it gives none."""
+    v = given.get(name, "")
+    return min(65534, int(v)) if re.fullmatch(r"[0-9]{1,9}", v) else least
+
+
 def _closes_itself(attrs: str) -> bool:
     """Whether the tag ends in a slash that isn't the end of an unquoted value."""
     if not attrs.endswith("/"):
@@ -200,11 +232,11 @@ def _shown(given: dict[str, str], style: str, none: bool, seen: bool) -> tuple[b
 class _Open:
     """An open element and what to do when it closes."""
 
-    __slots__ = ("tag", "none", "seen", "pre", "count", "flow", "table", "span", "indent", "space", "mute", "parted")
+    __slots__ = ("tag", "none", "seen", "pre", "count", "flow", "table", "span", "deep", "indent", "space", "mute", "parted")
 
     def __init__(self, tag: str, none: bool, seen: bool, pre: bool):
         self.tag, self.none, self.seen, self.pre = tag, none, seen, pre
-        self.count, self.flow, self.table, self.span, self.indent = 0, None, None, 1, None
+        self.count, self.flow, self.table, self.span, self.deep, self.indent = 0, None, None, 1, 1, None
         self.space, self.mute, self.parted = "", False, None  # svg or math if its content is; text right inside isn't shown; what parts it
 
 
@@ -285,6 +317,8 @@ class Renderer:
             if tag == "input" and given.get("type", "").lower() == "hidden":
                 none = True
             none, seen = _shown(given, given.get("style", ""), none, seen)
+        if tag == "dialog" and "open" not in given or top.tag == "details" and not top.count and tag != "summary":
+            none = True
         if tag in VOID:
             if not none and tag == "br":
                 self.flows[-1].end(True)
@@ -292,6 +326,8 @@ class Renderer:
                 self.flows[-1].apart()
             return
         el = _Open(tag, none, seen, pre)
+        if tag == "details":  # its text is shown if it is open; its first summary always
+            el.count, el.mute = int("open" in given), "open" not in given
         self.stack.append(el)
         self.open[tag] += 1
         if none:
@@ -303,7 +339,9 @@ class Renderer:
             self.tables.append(el.table)
         elif tag in ("td", "th", "caption") and self.tables:
             el.flow = Flow()
-            el.span = min(1000, int(given["colspan"])) if given.get("colspan", "").isdigit() and int(given["colspan"]) > 0 else 1
+            el.span, el.deep = min(1000, _number(given, "colspan") or 1), _number(given, "rowspan", 1)
+            if not el.deep:  # down to the end of its part of the table
+                el.deep = 65534
             self.flows.append(el.flow)
         elif tag == "tr" and self.tables:
             self.tables[-1].rows.append([])
@@ -437,7 +475,7 @@ class Renderer:
             else:
                 if not self.tables[-1].rows:
                     self.tables[-1].rows.append([])
-                self.tables[-1].rows[-1].append((lines, e.span))
+                self.tables[-1].rows[-1].append((lines, e.span, e.deep))
         elif e.table is not None:
             flow.end()
             self.tables.pop()

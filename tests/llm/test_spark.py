@@ -69,7 +69,7 @@ def ids(df):
     return sorted(-1 if r["doc_id"] is None else r["doc_id"] for r in df.select("doc_id").collect())
 
 
-def test_exact(spark, docs, folder):
+def test_exact(spark, docs, folder, monkeypatch):
     want = Counter()
     by = {}
     for d, t, *_ in rows():
@@ -77,7 +77,9 @@ def test_exact(spark, docs, folder):
     for d, t, *_ in rows():
         g = by[t or ""]
         want[(-1 if d is None else d, max(g), len(g), hashlib.sha256((t or "").encode()).hexdigest())] += 1
-    for hasher in (exact.content_hash, lambda b: len(b) % 2):
+    for hasher, hot in ((exact.content_hash, 256), (lambda b: len(b) % 2, 256), (lambda b: len(b) % 2, 1)):
+        monkeypatch.setattr(exact, "HOT", hot)
+        monkeypatch.setattr(exact, "SLICE_BYTES", 200)
         got = exact.exact_groups(docs, hasher=hasher).collect()
         null = lambda v: -1 if v is None else v
         assert Counter((null(r["doc_id"]), null(r["keep_id"]), r["group_size"], r["text_sha256"]) for r in got) == want
@@ -143,8 +145,10 @@ def test_suffix(spark, docs):
     assert sum(len(r["kept"]) for r in real) == sum(k[1] * n - k[2] * n for k, n in want.items())
 
 
-def test_fingerprints(spark, docs, tmp_path):
-    got = minhash.edited_fingerprints(docs, blocks=5).collect()
+@pytest.mark.parametrize("block", [minhash.BLOCK_BYTES, 900])
+def test_fingerprints(spark, docs, tmp_path, monkeypatch, block):
+    monkeypatch.setattr(minhash, "BLOCK_BYTES", block)
+    got = minhash.edited_fingerprints(docs).collect()
     assert len(got) == len(rows())
     by = {}
     for r in minhash.fingerprints(docs).collect():
@@ -158,7 +162,7 @@ def test_fingerprints(spark, docs, tmp_path):
     plain = spark.read.parquet(f"{tmp_path}/plain")
     texts = [t or "" for _, t in sorted(unique, reverse=True)]
     want = {d: hashlib.sha256(minhash.edited_text(t, n).encode()).hexdigest() for d, t, n in zip(sorted((d for d, _ in unique), reverse=True), texts, [*texts[1:], texts[0]], strict=True)}
-    assert {r["doc_id"]: r["edited_sha256"] for r in minhash.edited_fingerprints(plain, blocks=7).collect()} == want
+    assert {r["doc_id"]: r["edited_sha256"] for r in minhash.edited_fingerprints(plain).collect()} == want
 
 
 def test_mixing(spark, docs):

@@ -45,8 +45,40 @@ def test_stream_is_the_same_in_any_pieces():
         assert most <= t.lookahead + 3 * t.m.longest + 2 * size
 
 
+def test_texts_without_white_space_stream():
+    from tokenizers import Tokenizer
+
+    lib, draw = Tokenizer.from_file(WORD), random.Random(4)
+    texts = ["".join(draw.choice("ab'sre12é漢Σİ!?-\u0301\u1100\u1161\u11a8\u0f73가😀") for _ in range(draw.randint(1, 400))) for _ in range(150)]
+    texts += ["x" * 3000 + "'re" + "!" * 999 + "'s", "漢字" * 2000, "a" * 49 + "'re", "é" * 700 + "\u0301" * 200 + "b"]
+    for size in (4, 9, 50):
+        t = tokens.Transducer(WORD, run_chars=size)
+        for text in texts:
+            assert list(array("I", b"".join(t.stream(text)))) == lib.encode(text, add_special_tokens=False).ids
+    t, most = tokens.Transducer(WORD, run_chars=1000), 0
+    for piece in t.stream("theran" * 50_000):
+        most = max(most, len(piece))
+    assert most < 4 * 2500
+
+
+def test_counts_in_runs(monkeypatch):
+    from tokenizers import Tokenizer
+
+    lib, c = Tokenizer.from_file(BYTE), tokens.Counter(BYTE)
+    for size in (3, 20):
+        monkeypatch.setattr(tokens, "RUN_CHARS", size)
+        for text in [*ODD, " ".join(ODD)]:
+            assert c.count(text) == len(lib.encode(text, add_special_tokens=False).ids)
+
+
 def test_incremental_decoding():
-    t = tokens.Transducer(WORD)
+    from tokenizers import Tokenizer
+
+    t, lib = tokens.Transducer(WORD), Tokenizer.from_file(WORD)
+    for text in ["héllo 😀 wörld", *ODD]:
+        ids = array("I", b"".join(t.stream(text)))
+        d, one = tokens.Decoder(t.m), tokens.Decoder(t.m)
+        assert "".join(one.feed([i]) for i in ids) == d.feed(ids) == lib.decode(list(ids), skip_special_tokens=False)
     ids = array("I", b"".join(t.stream("héllo 😀 wörld")))
     d = tokens.Decoder(t.m)
     assert "".join(d.readable([i]) for i in ids) + d.readable([], True) == "héllo 😀 wörld "
@@ -99,13 +131,13 @@ def test_suffix_sort():
 
 
 def test_marks_and_sorts_across_batches():
-    rows = sorted((R.randint(0, 6), R.randint(0, 2), d, d, R.randint(0, 1) | 2, False) for d in range(80))
+    rows = sorted((R.randint(0, 6), R.randint(0, 1), R.randint(0, 1), d, d, R.randint(0, 1) | 2, False) for d in range(80))
     whole = _marks(rows, 1000)
-    kinds = {k: len({c for kk, c, *_ in rows if kk == k}) for k, *_ in rows}
+    kinds = {k: len({(c, m) for kk, c, m, *_ in rows if kk == k}) for k, *_ in rows}
     first = {}
     want = set()
-    for k, c, d, _, loc, _ in rows:
-        new = first.setdefault((k, c), d) == d
+    for k, c, m, d, _, loc, _ in rows:
+        new = first.setdefault((k, c, m), d) == d
         if not new or kinds[k] > 1 or loc & 1:
             want.add((d, new))
     assert whole == want
@@ -117,7 +149,7 @@ def _marks(rows, size):
     def batches():
         for at in range(0, len(rows), size):
             cols = list(zip(*rows[at : at + size], strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.bool_() if k == 5 else pa.int64()) for k, c in enumerate(cols)], names=["key", "content", "doc", "row", "loc", "copy"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.bool_() if k == 6 else pa.int64()) for k, c in enumerate(cols)], names=["key", "content", "more", "doc", "row", "loc", "copy"])
 
     out = [r for b in suffix._mark(batches()) for r in b.to_pylist()]
     assert len(out) == len({r["row"] for r in out})
@@ -205,6 +237,24 @@ def test_html(source, text):
     assert html.render(source) == text
 
 
+@pytest.mark.parametrize(
+    ("source", "text"),
+    [
+        ("<table><tr><td rowspan=2>A<td>B<tr><td>C</table>", "A | B\n  | C"),
+        ("<table><tr><td>a<td rowspan=2>b<td>c<tr><td>d<td>e<tr><td>f<td>g<td>h</table>", "a | b | c\nd |   | e\nf | g | h"),
+        ("<table><tr><td rowspan=0>a<td>b<tr><td>c<tr><td>d</table>", "a | b\n  | c\n  | d"),
+        ("<table><tr><td rowspan=2 colspan=2>ab<td>c<tr><td>d</table>", "ab  | c\n |  | d"),
+        ("<table><tr><td>漢字<td>x<tr><td>abcd<td>y<tr><td>e\u0301<td>z</table>", "漢字 | x\nabcd | y\ne\u0301    | z"),
+        ("a<object data=x><p>fall back</object>b", "a\n\nfall back\n\nb"),
+        ("a<dialog>no</dialog><dialog open>yes</dialog>b", "a\nyes\nb"),
+        ("<details><summary>s</summary>t<p>u</details><details open><summary>v</summary>w</details>", "s\nv\nw"),
+        ("<math><mi>m</mi></math>", "m"),
+    ],
+)
+def test_html_spans_and_shown_parts(source, text):
+    assert html.render(source) == text
+
+
 @pytest.mark.parametrize(
     ("source", "text"),
     [
