@@ -1,17 +1,53 @@
-"""What lines and texts are recognised by. Alternatives are listed one by one, in alphabetical order;
-``java`` and ``re2`` give the pattern for Spark and for the oracles. Letters match in either case."""
+"""What lines and texts are recognised by: the vocabulary that the rules are defined with. Alternatives are listed one by one, in
+alphabetical order; ``java`` and ``re2`` give the pattern for Spark and for the oracles. Letters match in either case.
+
+A text is first searched for the literals of which every match holds one, which is cheap; only where one occurs is the pattern tried."""
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Iterable
 
 from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 from .text import SPACES, WORD
 
+try:
+    from re import _parser as parser
+except ImportError:  # before Python 3.11
+    import sre_parse as parser
+
 S, S0 = f"[{SPACES}]+", f"[{SPACES}]*"
 
 
+def _literals(tree: parser.SubPattern) -> set[str] | None:
+    """The best of the lists of literals that the parts of a sequence give: the one whose shortest is longest."""
+    best: set[str] | None = None
+    run = ""
+
+    def offer(new: set[str] | None) -> None:
+        nonlocal best
+        if new and (best is None or min(map(len, new)) > min(map(len, best))):
+            best = new
+
+    for op, arg in [*tree, (None, None)]:
+        if op is parser.LITERAL:
+            run += chr(arg).lower()
+            continue
+        offer({run} if run else None)
+        run = ""
+        if op is parser.SUBPATTERN:
+            offer(_literals(arg[-1]))
+        elif op is parser.BRANCH:
+            each = [_literals(b) for b in arg[1]]
+            offer(set().union(*each) if all(each) else None)
+        elif op is parser.MAX_REPEAT and arg[0] > 0:
+            offer(_literals(arg[2]))
+    return best
+
+
 class Pattern:
     def __init__(self, alternatives: Iterable[str], prefix: str = "", suffix: str = ""):
         body = "|".join(a.replace("~+", S).replace("~*", S0).replace("~", f"[{SPACES}]").replace("¤", WORD) for a in alternatives)
@@ -25,8 +61,22 @@ class Pattern:
     def re2(self) -> str:
         return "(?i)" + self.body
 
+    @functools.cached_property
+    def needs(self) -> list[str] | None:
+        """Literals of which a match holds at least one; none if the pattern has no such list."""
+        plain = self.body.replace(f"[{SPACES}]", r"\s").replace(SPACES, r"\s").replace(WORD, r"\w").replace(r"\p{L}\p{N}", r"\w").replace(r"\p{Nd}", r"\d")
+        found = _literals(parser.parse(plain))
+        return sorted(found) if found and min(len(x.encode()) for x in found) > 1 else None
+
+    def may(self, c: Column) -> Column:
+        """Whether the pattern may occur: false only where it doesn't."""
+        if self.needs is None:
+            return F.lit(True)
+        low = F.lower(F.translate(c, "ſıİ", "sii"))
+        return functools.reduce(operator.or_, [F.contains(low, F.lit(x)) for x in self.needs])
+
     def __call__(self, c: Column) -> Column:
-        return c.rlike(self.java)
+        return self.may(c) & c.rlike(self.java) if self.needs else c.rlike(self.java)
 
     def sql(self, x: str) -> str:
         return f"regexp_matches({x}, '" + self.re2.replace("'", "''") + "')"
@@ -145,3 +195,4 @@ CONTENTLESS = sorted(
 
 # chunk policies
 HEARTBEAT = Pattern(["^~*200 OK", "cpu usage", "directory listing", "drwx", "health ?check", "heartbeat", "no changes", "nothing to commit", "ok$", "total [0-9]+", "uptime"])
+QUICK_NOISE = Pattern([r"^# query_time: 0\.00", "^drwx", r"^total [0-9]+", "added package-", "heartbeat ok", "npm notice"])

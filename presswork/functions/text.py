@@ -52,6 +52,13 @@ def tokens(c: Column | str) -> Column:
     return F.greatest(F.lit(1), F.floor(F.length(col(c)) / 4)).cast("long")
 
 
+def json_chars(c: Column | str) -> Column:
+    """Length of the text as an ASCII JSON string, without its quotes: marks and the usual control characters take two characters,
+    other characters that aren't printable ASCII six, or twelve where they are two UTF-16 units."""
+    count = lambda form: F.length(F.regexp_replace(col(c), form, ""))
+    return (F.length(col(c)) + count(r'[^"\\\n\r\t\x08\x0c]') + 5 * count(r"[\x20-\x7e\n\r\t\x08\x0c\x{10000}-\x{10ffff}]") + 11 * count(r"[\x00-\x{ffff}]")).cast("long")
+
+
 def head_hash(c: Column | str, digits: int) -> Column:
     return F.substring(F.sha1(col(c)), 1, digits)
 
@@ -75,3 +82,10 @@ def q_lines(x: str) -> str:
 
 def q_tokens(x: str) -> str:
     return f"greatest(1, length({x}) // 4)"
+
+
+def q_json_chars(x: str) -> str:
+    count = lambda form: f"length(regexp_replace({x}, '{form}', '', 'g'))"
+    return "(length({}) + {} + 5 * {} + 11 * {})".format(
+        x, count(r'[^"\\\n\r\t\x08\x0c]'), count(r"[\x20-\x7e\n\r\t\x08\x0c\x{10000}-\x{10ffff}]"), count(r"[\x00-\x{ffff}]")
+    )

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -42,8 +45,27 @@ def digest(messages: DataFrame, transcript: str, budget: int = 4000, cut: int =
 
 
 def score(before: DataFrame, after: DataFrame, evidence: DataFrame, key: str) -> DataFrame:
-    """Per input: evidence strings that survive, size before and after in tokens, and what was saved."""
-    a = before.groupBy(key).agg(F.floor(F.sum(F.length("content")) / 4).alias("tokens_before"))
-    b = after.groupBy(key).agg(F.floor(F.sum(F.length("content")) / 4).alias("tokens_after"), F.concat_ws("\n", F.collect_list(F.lower("content"))).alias("_all"))
-    e = evidence.join(b.select(key, "_all"), key, "left").groupBy(key).agg(F.count("*").alias("evidence"), F.count_if(F.contains("_all", F.lower("needle"))).alias("recalled"))
-    return a.join(b.drop("_all"), key).join(e, key, "left").withColumn("saved", F.col("tokens_before") - F.col("tokens_after"))
+    """Per input (key): size before and after in tokens, evidence strings (key, needle_id, needle) and those that some message still holds, in any case, and what was saved. Evidence is joined to an
+    input's messages, so a string is looked for in its own input only; finds are few, messages never gathered."""
+    size = lambda df, name: df.groupBy(key).agg(F.floor(F.sum(F.length("content")) / 4).cast("long").alias(name))
+    lists = evidence.groupBy(key).agg(F.collect_list(F.struct("needle_id", F.lower("needle").alias("n"))).alias("_n"), F.count("*").alias("evidence"))
+    low = after.select(key, F.lower("content").alias("_t")).join(lists.select(key, "_n"), key)
+    finds = low.select(key, F.explode(F.expr("filter(_n, x -> contains(_t, x.n))")).alias("_f")).select(key, "_f.needle_id").distinct()
+    hits = finds.groupBy(key).agg(F.count("*").alias("recalled"))
+    out = size(before, "tokens_before").join(size(after, "tokens_after"), key).join(lists.drop("_n"), key, "left").join(hits, key, "left")
+    none = F.lit(0).cast("long")
+    return out.select(key, "tokens_before", "tokens_after", F.coalesce("evidence", none).alias("evidence"), F.coalesce("recalled", none).alias("recalled"), (F.col("tokens_before") - F.col("tokens_after")).alias("saved"))
+
+
+def run_benches(benches: dict[str, Callable[[], object]], timeout: float = 300.0, tail: int = 3) -> list[tuple[str, bool, float, str]]:
+    """Run named checks one after another: name, whether it ended without an error and in time, seconds, and the last lines of what it said."""
+    out = []
+    for name, bench in sorted(benches.items()):
+        began, said = time.monotonic(), ""
+        try:
+            said, good = str(bench() or ""), True
+        except Exception as e:  # a bench's failure is its outcome
+            said, good = f"{type(e).__name__}: {e}", False
+        took = time.monotonic() - began
+        out.append((name, good and took <= timeout, round(took, 3), "\n".join(said.splitlines()[-tail:])))
+    return out

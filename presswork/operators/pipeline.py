@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions.text import filled, lines, squash_lower
+from . import admit as A
 
 FULL_CHARS = 400
 
@@ -28,36 +29,66 @@ def line_pattern(line: Column) -> Column:
     return squash_lower(F.regexp_replace(line, r"\p{Nd}[\p{Nd},.]*", "#"))
 
 
-def pattern_stats(ls: Column) -> tuple[Column, Column]:
-    """Distinct line patterns and the count of the most frequent, from a sorted list of the step's own lines."""
-    runs = F.array_sort(F.transform(ls, line_pattern))
-    distinct = F.array_distinct(runs)
-    return F.size(distinct), F.array_max(F.transform(F.slice(distinct, 1, 4), lambda k: F.size(F.filter(runs, lambda x: x == k))))
+def pattern_stats(ls: Column) -> Column:
+    """Of a step's lines: distinct line patterns (``kinds``) and the count of the most frequent (``top``, null beyond three kinds, where it doesn't matter): one walk over the
+    patterns, each made once, that stops counting at a fourth kind."""
+    start = F.struct(F.array().cast("array<string>").alias("k"), F.array().cast("array<int>").alias("n"))
+
+    def counted(acc: Column, x: Column) -> Column:
+        at = F.array_position(acc["k"], x)
+        known = F.struct(acc["k"].alias("k"), F.transform(acc["n"], lambda n, i: F.when(i + 1 == at, n + 1).otherwise(n)).alias("n"))
+        new = F.struct(F.array_append(acc["k"], x).alias("k"), F.array_append(acc["n"], F.lit(1)).alias("n"))
+        return F.when(at > 0, known).otherwise(new)
+
+    def add(acc: Column, line: Column) -> Column:
+        # get(transform(array(x), ...), 0) names an intermediate value
+        return F.when(F.size(acc["k"]) > 3, acc).otherwise(F.get(F.transform(F.array(line_pattern(line)), lambda x: counted(acc, x)), F.lit(0)))
+
+    return F.aggregate(ls, start, add, lambda acc: F.struct(F.size(acc["k"]).alias("kinds"), F.when(F.size(acc["k"]) <= 3, F.array_max(acc["n"])).alias("top")))
 
 
 def judge(steps: DataFrame, run: str, order: str, name: str = "name", text: str = "text") -> DataFrame:
     """Adds decision and excerpt. A schema counts as seen if an earlier step of the run with that schema got as far: a minimum
-    per (run, schema), joined back."""
-    d = steps.withColumn("_l", lines(text)).withColumn("_raw", raw_lines(F.col(text)))
-    full = (F.length(text) <= FULL_CHARS) | P.STEP_ERROR(F.col(text))
-    idle = (F.size("_raw") > 0) & F.forall("_raw", lambda x: P.PROGRESS(x) | P.BANNER(x))
-    d = d.withColumn("_full", full).withColumn("_idle", idle).withColumn("_key", F.when(~full & ~idle, schema_key(F.col("_l"))))
-    first = d.where("_key is not null").groupBy(run, "_key").agg(F.min(order).alias("_first"))
-    d = d.join(first, [run, "_key"], "left")
-    kinds, top = pattern_stats(F.col("_raw"))
-    d = d.withColumn("_sig", signal_lines(F.col("_l"))).withColumn("_kinds", kinds).withColumn("_top", top)
-    seen, folded, bare = F.coalesce(F.col(order) > F.col("_first"), F.lit(False)), (F.col("_top") >= 6) & (F.col("_kinds") <= 3), F.size("_sig") == 0
+    per (run, schema), joined back. Texts without a schema's words aren't looked at for it, errors and short texts not for patterns."""
+    t = F.col(text)
+
+    def told(d: DataFrame) -> DataFrame:
+        d = d.withColumn("_full", (F.length(text) <= FULL_CHARS) | P.STEP_ERROR(t)).withColumn("_raw", F.when(~F.col("_full"), raw_lines(t)))
+        d = d.withColumn("_idle", F.coalesce((F.size("_raw") > 0) & F.forall("_raw", lambda x: P.PROGRESS(x) | P.BANNER(x)), F.lit(False)))
+        may = ~F.col("_full") & ~F.col("_idle") & P.SCHEMA.may(t)
+        return d.withColumn("_key", F.when(may, schema_key(lines(t))))
+
+    keyed = told(steps.where(P.SCHEMA.may(t)).select(run, order, text)).where("_key is not null")
+    first = keyed.groupBy(run, "_key").agg(F.min(order).alias("_first"))
+    d = told(steps).join(first, [run, "_key"], "left")
+    open_ = ~F.col("_full") & ~F.col("_idle")
+    d = d.withColumn("_sig", F.when(open_ & (P.METRIC.may(t) | P.SCHEMA.may(t)), signal_lines(lines(t))).otherwise(F.array().cast("array<string>")))
+    d = d.withColumn("_pat", F.when(open_, pattern_stats(F.col("_raw"))))
+    seen, bare = F.coalesce(F.col(order) > F.col("_first"), F.lit(False)), F.size("_sig") == 0
+    folded = F.coalesce((F.col("_pat.top") >= 6) & (F.col("_pat.kinds") <= 3), F.lit(False))
     n = F.col(name)
     note = (
         F.when(F.col("_full"), None)
         .when(F.col("_idle"), F.concat(F.lit("["), n, F.lit(": "), F.size("_raw").cast("string"), F.lit(" progress/heartbeat lines]")))
         .when(seen, F.concat(F.lit("["), n, F.lit(": schema identical to earlier step]")))
-        .when(~F.coalesce(folded, F.lit(False)) & bare, F.concat(F.lit("["), n, F.lit(": no metrics/schema/errors]")))
+        .when(~folded & bare, F.concat(F.lit("["), n, F.lit(": no metrics/schema/errors]")))
     )
-    part = F.when(~bare, F.array_join("_sig", "\n")).otherwise(F.concat(F.lit("["), n, F.lit(": pattern x"), F.col("_top").cast("string"), F.lit("]")))
+    part = F.when(~bare, F.array_join("_sig", "\n")).otherwise(F.concat(F.lit("["), n, F.lit(": pattern x"), F.col("_pat.top").cast("string"), F.lit("]")))
     return (
         d.withColumn("_note", note)
         .withColumn("decision", F.when(F.col("_full"), "keep_full").when(F.col("_note").isNotNull(), "notice").otherwise("keep_excerpt"))
         .withColumn("excerpt", F.when(F.col("_full"), F.col(text)).when(F.col("_note").isNotNull(), F.col("_note")).otherwise(part))
-        .drop("_l", "_raw", "_full", "_idle", "_key", "_first", "_sig", "_kinds", "_top", "_note")
+        .drop("_raw", "_full", "_idle", "_key", "_first", "_sig", "_pat", "_note")
     )
+
+
+def squeeze(steps: DataFrame, run: str, order: str, name: str = "name", text: str = "text") -> DataFrame:
+    """Steps of runs with decision, ref (of all that isn't kept in full, numbered per run and name) and out, the text with its reference."""
+    d = A.with_refs(judge(steps, run, order, name, text), F.col("decision") != "keep_full", F.col(name), [run], order)
+    return d.withColumn("out", F.when(F.col("ref").isNull(), F.col("excerpt")).otherwise(F.concat("excerpt", F.lit("\n[held:"), "ref", F.lit("]"))))
+
+
+def stats(squeezed: DataFrame, run: str, text: str = "text") -> DataFrame:
+    d = A.run_stats(squeezed, [run], ["keep_full", "keep_excerpt", "notice"], text)
+    size = lambda c: F.greatest(F.lit(1), F.floor(F.col(c) / 4)).cast("long")
+    return d.withColumn("tokens_in", size("chars_in")).withColumn("tokens_out", size("chars_out"))

@@ -21,12 +21,12 @@ def uniqueness(chunked: DataFrame) -> DataFrame:
     return chunked.withColumn("p", F.when(few, 0.1).otherwise(1.0))
 
 
-def boilerplate(chunked: DataFrame, transcript: str, order: list[str]) -> DataFrame:
-    """0 for chunks of which 60 % of the lines occurred in an earlier chunk of the transcript or are noise.
+def boilerplate(chunked: DataFrame, transcript: str, order: list[str], noise: P.Pattern = P.HEARTBEAT) -> DataFrame:
+    """0 for chunks of which 60 % of the lines occurred in an earlier chunk of the transcript or are short and noise.
     Occurrence before is a minimum over the line's chunks; lines are hashed for the shuffle."""
     spot = F.struct(*order)
     per_line = chunked.select(transcript, spot.alias("_at"), F.explode(lines("chunk")).alias("_l"))
-    per_line = per_line.select(transcript, "_at", F.sha1("_l").alias("_h"), (P.HEARTBEAT(F.col("_l")) & (F.length("_l") < 200)).cast("int").alias("_noise"))
+    per_line = per_line.select(transcript, "_at", F.sha1("_l").alias("_h"), ((F.length("_l") < 200) & noise(F.col("_l"))).cast("int").alias("_noise"))
     first = per_line.groupBy(transcript, "_h").agg(F.min("_at").alias("_first"))
     told = (
         per_line.join(first, [transcript, "_h"]).groupBy(transcript, "_at")
@@ -52,3 +52,8 @@ def fragments(chunked: DataFrame, needle: str, width: int = 6, found: float = 0.
     grams = sorted({needle.lower()[k : k + width] for k in range(max(1, len(needle) - width + 1))})
     hit = F.exists(F.array(*[F.lit(g) for g in grams]), lambda g: F.contains(F.lower("chunk"), g))
     return chunked.withColumn("p", F.when(hit, found).otherwise(lost))
+
+
+def priors(chunked: DataFrame, priors: DataFrame, keys: list[str], otherwise: float = 0.5) -> DataFrame:
+    """What was decided of a message before (keys, p) as the probability of all its chunks; ``otherwise`` of messages that nothing was decided of."""
+    return chunked.join(priors.select(*keys, F.col("p").alias("_p")), keys, "left").withColumn("p", F.coalesce("_p", F.lit(otherwise))).drop("_p")

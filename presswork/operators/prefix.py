@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import tokens
+from ..functions.text import json_chars, tokens
 
 READ, WRITE = 0.1, 1.25
 TTLS = {"5min": (300, 1.25), "1hour": (3600, 2.0)}
@@ -23,6 +23,19 @@ def protect(messages: DataFrame, transcript: str, budget: int = 1024) -> DataFra
     return t.withColumn("protected", F.sum("tokens").over(_running(transcript)) <= budget)
 
 
+def message_chars(extra: Column | int = 0) -> Column:
+    """Characters of a message (role, name, content) as one JSON object."""
+    return json_chars("role") + json_chars("name") + json_chars("content") + F.lit(len('{"role": "", "name": "", "content": ""}')) + extra
+
+
+def protect_turns(messages: DataFrame, transcript: str, chars: int) -> DataFrame:
+    """Per turn (messages with turn_id; null ones are no turn): its characters as JSON, and ``protected``: the longest run of whole turns from the start
+    within ``chars``."""
+    turns = messages.where("turn_id is not null").groupBy(transcript, "turn_id").agg(F.sum(message_chars()).alias("chars"))
+    w = Window.partitionBy(transcript).orderBy("turn_id").rowsBetween(Window.unboundedPreceding, 0)
+    return turns.withColumn("protected", F.sum("chars").over(w) <= chars)
+
+
 def stable_prefix(original: DataFrame, squeezed: DataFrame, transcript: str) -> DataFrame:
     """Tokens of the leading messages that are the same in both."""
     b = squeezed.select(transcript, "pos", F.col("role").alias("_r"), F.col("content").alias("_c"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions.text import lines, squash_lower
+from . import admit as A
 
 FULL_CHARS = 800
 
@@ -59,3 +60,25 @@ def duplicates(pages: DataFrame, key: str = "pos", url: str = "url", text: str =
     keyed = pages.withColumn("_h", h)
     first = keyed.where("_h is not null").groupBy("_h").agg(F.min(F.struct(key, url)).alias("_f"))
     return keyed.join(first, "_h", "left").withColumn("dup_of", F.when(F.col(key) != F.col(f"_f.{key}"), F.col(f"_f.{url}"))).drop("_h", "_f")
+
+
+def squeeze(pages: DataFrame, task: str, cited: list[str] | None = None, key: str = "pos", url: str = "url", text: str = "text") -> DataFrame:
+    """Pages of a corpus (key in their order, url, text) with dup_of, decision, lines_kept, lines_total, ref (numbered per url, of all that isn't kept in full) and out:
+    the excerpt under a line that says what was left out."""
+    told = duplicates(judge(pages.withColumn(text, F.coalesce(text, F.lit(""))), task, cited, text), key, url, text)
+    dup = F.col("dup_of").isNotNull()
+    d = told.withColumn("decision", F.when(dup, "notice").otherwise(F.col("decision"))).withColumn("lines_total", F.size(lines(text)).cast("long"))
+    d = d.withColumn("lines_kept", F.when(dup, 0).otherwise(F.size("kept")).cast("long"))
+    d = A.with_refs(d, F.col("decision") != "keep_full", F.col(url), [], key)
+    n, m = F.col("lines_kept").cast("string"), F.col("lines_total").cast("string")
+    out = (
+        F.when(dup, F.concat(F.lit("[duplicate of "), "dup_of", F.lit("; full page held]"))).when(F.col("decision") == "keep_full", F.col(text))
+        .when(F.col("decision") == "notice", F.concat(F.lit("[page dropped: "), m, F.lit(" lines, "), F.length(text).cast("string"), F.lit(" chars; full page held]")))
+        .otherwise(F.concat(F.lit("[kept "), n, F.lit("/"), m, F.lit(" lines; full page held]\n"), "excerpt"))
+    )
+    return d.withColumn("out", out).drop("kept", "excerpt")
+
+
+def stats(squeezed: DataFrame, text: str = "text") -> DataFrame:
+    d = A.run_stats(squeezed, [], ["keep_full", "keep_quotes", "notice"], text).drop("tokens_out")
+    return d.crossJoin(squeezed.agg(F.count("dup_of").alias("duplicates")))  # a row each

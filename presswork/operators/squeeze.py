@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions.text import tokens
 from . import chunk as C
+from . import prefix as X
 
 THRESHOLD = 0.5
 
@@ -35,15 +36,15 @@ def keep_top(scored: DataFrame, transcript: list[str], order: list[str], keys: l
     return marked.withColumn("keep", F.col("_top") | (~F.max("_top").over(m) & (F.row_number().over(m.orderBy(F.desc("p"), "chunk_idx")) == 1))).drop("_top")
 
 
-def reassemble(kept: DataFrame, keys: list[str], marker: str = "squeezed", always: bool = False) -> DataFrame:
+def reassemble(kept: DataFrame, keys: list[str], marker: str = "squeezed", always: bool = False, lines_only: bool = False) -> DataFrame:
     """Messages from chunks with ``keep``: overlap is cut off where the chunk after it stays, hard splits join
-    with nothing and lines with a line feed, and a note says how many chunks stayed if not all did."""
+    with nothing and lines with a line feed (``lines_only``: both do), and a note says how many chunks stayed if not all did."""
     w = Window.partitionBy(*keys).orderBy("chunk_idx")
     over = F.col("overlap_after") if "overlap_after" in kept.columns else F.lit(0)
     cut = F.coalesce(F.lead("keep").over(w), F.lit(False)) & (over > 0)
     body = F.when(cut, F.expr("substring(chunk, 1, length(chunk) - cast(_over as int))")).otherwise(F.col("chunk"))
     parts = kept.withColumn("_over", over).withColumn("_body", body)
-    piece = F.when(F.col("keep"), F.struct("chunk_idx", F.col("_body").alias("t"), F.when(F.col("hard_after"), "").otherwise("\n").alias("s")))
+    piece = F.when(F.col("keep"), F.struct("chunk_idx", F.col("_body").alias("t"), F.when(F.col("hard_after") & F.lit(not lines_only), "").otherwise("\n").alias("s")))
     told = parts.groupBy(*keys).agg(F.array_sort(F.collect_list(piece)).alias("_p"), F.sum(F.col("keep").cast("int")).alias("n_kept"), F.count("*").alias("n_chunks"))
     text = F.expr("array_join(transform(_p, (x, i) -> if(i = size(_p) - 1, x.t, concat(x.t, x.s))), '')")
     note = F.concat(F.lit(f"[{marker}: kept "), "n_kept", F.lit("/"), "n_chunks", F.lit(" chunks]\n"))
@@ -51,20 +52,45 @@ def reassemble(kept: DataFrame, keys: list[str], marker: str = "squeezed", alway
     return told.select(*keys, F.concat(shown, text).alias("content"), F.col("n_kept").cast("long").alias("n_kept"), F.col("n_chunks").cast("long").alias("n_chunks"))
 
 
+Policy = Callable[[DataFrame], DataFrame]
+
+
 def squeeze(
-    messages: DataFrame, transcript: str, policy: Callable[[DataFrame], DataFrame], threshold: float = THRESHOLD, two_tier: bool = True, overlap: int = 0
+    messages: DataFrame, transcript: str, policy: Policy, threshold: float = THRESHOLD, two_tier: bool = True, overlap: int = 0, verbatim: bool = False, first_form: bool = False
 ) -> DataFrame:
     """Rewrites tool messages (transcript, pos, role, name, content); others pass, and so do tool messages
-    without a filled line. Adds n_kept and n_chunks (null where nothing was judged)."""
+    without a filled line. Adds n_kept and n_chunks (null where nothing was judged). Chunking loses blank lines; with ``verbatim`` a message
+    that keeps all its chunks stays as it was. ``first_form`` is the older pruner's: its note always, and chunks joined by line feeds."""
     keys = [transcript, "pos"]
     tools = messages.where("role = 'tool'")
     cut = C.chunks(tools, keys, "content", C.chunk_size("content", two_tier))
     judged = C.with_overlap(cut, keys, overlap) if overlap else cut
-    out = reassemble(keep(policy(judged), keys, threshold), keys).withColumnRenamed("content", "_new")
-    return messages.join(out, keys, "left").withColumn("content", F.coalesce("_new", "content")).drop("_new")
+    kept = keep(policy(judged), keys, threshold)
+    out = (reassemble(kept, keys, "compressed", True, True) if first_form else reassemble(kept, keys)).withColumnRenamed("content", "_new")
+    new = F.when(F.col("n_kept") < F.col("n_chunks"), F.col("_new")) if verbatim else F.col("_new")
+    return messages.join(out, keys, "left").withColumn("content", F.coalesce(new, "content")).drop("_new")
 
 
 def squeeze_stats(before: DataFrame, after: DataFrame, transcript: str) -> DataFrame:
     a = before.groupBy(transcript).agg(F.sum(tokens("content")).alias("tokens_before"))
     b = after.groupBy(transcript).agg(F.sum(tokens("content")).alias("tokens_after"), F.coalesce(F.sum("n_chunks"), F.lit(0)).alias("judged"))
     return a.join(b, transcript).withColumn("saved", F.col("tokens_before") - F.col("tokens_after"))
+
+
+def cache_aware(messages: DataFrame, transcript: str, policy: Policy, protect: int = 1024, **how) -> DataFrame:
+    """``squeeze`` of what follows the protected prefix, which stays byte for byte so that a prompt cache still holds it: adds tokens (before),
+    ``protected``, n_kept and n_chunks. Only the tail is chunked and judged."""
+    told = X.protect(messages, transcript, protect)
+    prefix = told.where("protected").withColumn("n_kept", F.lit(None).cast("long")).withColumn("n_chunks", F.lit(None).cast("long"))
+    tail = squeeze(told.where("not protected"), transcript, policy, **how)
+    return prefix.unionByName(tail)
+
+
+def cache_aware_stats(squeezed: DataFrame, transcript: str) -> DataFrame:
+    """Per transcript: tokens before, after, in the prefix and after it, and chunks in all and kept."""
+    after, zero = tokens("content"), F.lit(0).cast("long")
+    return squeezed.groupBy(transcript).agg(
+        F.sum("tokens").alias("tokens_before"), F.sum(after).alias("tokens_after"), F.sum(F.when(F.col("protected"), after).otherwise(zero)).alias("protected_tokens"),
+        F.sum(F.when(F.col("protected"), zero).otherwise(after)).alias("dynamic_tokens_after"),
+        F.coalesce(F.sum("n_chunks"), zero).alias("chunks_total"), F.coalesce(F.sum("n_kept"), zero).alias("chunks_kept"),
+    )

@@ -13,7 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
+from ..functions.tables import written
 from ..functions.text import WORD, lines, squash_lower
+from . import admit as A
 
 FULL_CHARS, HOLD_CHARS, LEAST = 160, 100, 30
 
@@ -58,33 +60,35 @@ def _alike(new: set[str], old_words: list[str], old: set[str]) -> bool:
 _SKIP = frozenset(P.CONTENTLESS)
 
 
+def step(kept: list[list[str]], r: object) -> tuple[list[list[str]], str, str]:
+    """One turn against the words of the kept turns before it: what is kept then, decision, excerpt."""
+    text, norm = r.text or "", r.norm
+    if r.cut_in:
+        said = r.spoken.strip()
+        return (kept, "keep_excerpt", "[interrupted; spoke only] " + said) if said else (kept, "notice", "[interrupted; nothing spoken]")
+    if isinstance(r.early, str):
+        return kept, "notice", r.early
+    ws = re.findall(r"\w+", norm)
+    mine = set(ws)
+    if len(norm) > LEAST and any(_alike(mine, k, set(k)) for k in kept):
+        return kept, "notice", "[restated; same intent as earlier turn]"
+    if r.confirms and kept:
+        return kept, "notice", "[confirmation re-ask; fact established earlier]"
+    if len(norm) > LEAST:
+        kept = [*kept, ws]
+    if not r.commits and len(r.fact_lines) and len(text) > FULL_CHARS:
+        return kept, "keep_excerpt", "\n".join(r.fact_lines)
+    return kept, "keep_full", text
+
+
 def _walk(turns: pd.DataFrame) -> pd.DataFrame:
-    kept: list[tuple[list[str], set[str]]] = []
+    kept: list[list[str]] = []
+    turns = turns.sort_values("pos")
     out = []
-    for r in turns.sort_values("pos").itertuples(index=False):
-        text, norm = r.text or "", r.norm
-        if r.cut_in:
-            said = r.spoken.strip()
-            out.append(("keep_excerpt", "[interrupted; spoke only] " + said) if said else ("notice", "[interrupted; nothing spoken]"))
-            continue
-        if isinstance(r.early, str):
-            out.append(("notice", r.early))
-            continue
-        ws = re.findall(r"\w+", norm)
-        mine = set(ws)
-        if len(norm) > LEAST and any(_alike(mine, *k) for k in kept):
-            out.append(("notice", "[restated; same intent as earlier turn]"))
-            continue
-        if r.confirms and kept:
-            out.append(("notice", "[confirmation re-ask; fact established earlier]"))
-            continue
-        if len(norm) > LEAST:
-            kept.append((ws, mine))
-        if not r.commits and len(r.fact_lines) and len(text) > FULL_CHARS:
-            out.append(("keep_excerpt", "\n".join(r.fact_lines)))
-        else:
-            out.append(("keep_full", text))
-    done = turns.sort_values("pos")[["conv", "pos"]].copy()
+    for r in turns.itertuples(index=False):
+        kept, *said = step(kept, r)
+        out.append(said)
+    done = turns[["conv", "pos"]].copy()
     done["decision"] = [d for d, _ in out]
     done["excerpt"] = [e for _, e in out]
     return done
@@ -97,3 +101,18 @@ def judge(turns: DataFrame, conversation: str, order: str, text: str = "text", r
     )
     kinds = dict(d.dtypes)
     return d.groupBy("conv").applyInPandas(_walk, f"conv {kinds['conv']}, pos {kinds['pos']}, decision string, excerpt string")
+
+
+def squeeze(turns: DataFrame, conversation: str, order: str, text: str = "text", role: str = "role", folder: str | None = None, **barge: str) -> DataFrame:
+    """Turns of conversations with decision, ref (numbered per conversation and decision, of all that isn't kept in full and is longer than 100
+    characters) and out. With a shared ``folder`` the judged turns are written there, so conversations are walked once."""
+    said = judge(turns, conversation, order, text, role, **barge).withColumnsRenamed({"conv": conversation, "pos": order})
+    if folder:
+        said = written(said, folder, "voice")
+    d = turns.join(said, [conversation, order])
+    d = A.with_refs(d, (F.col("decision") != "keep_full") & (F.length(text) > HOLD_CHARS), F.concat(F.lit("voice:"), "decision"), [conversation], order)
+    return d.withColumn("out", F.when(F.col("ref").isNull(), F.col("excerpt")).otherwise(F.concat("excerpt", F.lit(" [held: "), "ref", F.lit("]"))))
+
+
+def stats(squeezed: DataFrame, conversation: str, text: str = "text") -> DataFrame:
+    return A.run_stats(squeezed, [conversation], ["keep_full", "keep_excerpt", "notice"], text)

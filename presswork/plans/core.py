@@ -71,18 +71,14 @@ def fleet_report(spark: SparkSession, sf: str) -> DataFrame:
     return D.report(d.withColumn("content", D.marked(d)))
 
 
-@query(
-    f"""with {TOOL_ROWS}, s as (select pos k, list_distinct(list_filter(string_split({q_squash('text')}, ' '), lambda x: x <> '')) s from tool_rows where length(text) >= 60),
-c as (select a.k a, b.k b, len(list_intersect(a.s, b.s)) i, len(a.s) + len(b.s) t from s a join s b on a.k < b.k and least(len(a.s), len(b.s)) >= 0.85 * greatest(len(a.s), len(b.s)))
-select a, b, cast(i as double) / (t - i) jaccard from c where i >= 0.85 * (t - i)"""
-)
+@query()
 def near_dup_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return D.near_pairs(tool_rows(spark, sf), "pos")
 
 
 @query()
 def near_dup_clusters(spark: SparkSession, sf: str) -> DataFrame:
-    """Greedy representatives in key order; tests hold it against the sequential rule."""
+    """Greedy representatives in key order."""
     return D.near_clusters(near_dup_pairs(spark, sf), scratch(spark))
 
 
@@ -115,7 +111,7 @@ g as (select *, case decision when 'keep_full' then text when 'trim' then ex whe
 
 
 def _admitted(spark: SparkSession, sf: str) -> DataFrame:
-    return A.admit(tool_rows(spark, sf))
+    return A.admit(tool_rows(spark, sf), folder=scratch(spark))
 
 
 @query(GATE + " select pos, name, decision, confidence, ref, sha1(admitted) admitted_sha, case when ref is null then 0 else length(text) - length(admitted) end held_chars from g")

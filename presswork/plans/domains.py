@@ -184,7 +184,7 @@ def voice_dialogue(spark: SparkSession, sf: str) -> DataFrame:
 # ---- transcripts as turns and tool calls
 @query(
     f"""with u as (select conv_id, arg_min(text, turn) c from conversations where role = 'user' and {q_filled("coalesce(text, '')")} group by 1),
-t as (select distinct conv_id from conversations) select t.conv_id t, case when c is null then 'Complete the user''s request.' when length({q_strip('c')}) > 300 then left({q_strip('c')}, 300) || '...' else {q_strip('c')} end task,
+t as (select distinct conv_id from conversations) select t.conv_id t, case when c is null then 'complete the agent''s task; preserve everything the final answer may depend on' when length({q_strip('c')}) > 300 then left({q_strip('c')}, 300) || '...' else {q_strip('c')} end task,
   coalesce(left({q_strip('c')}, 300), '') intent from t left join u using (conv_id)"""
 )
 def infer_task(spark: SparkSession, sf: str) -> DataFrame:
@@ -391,23 +391,3 @@ u as (select *, cast(sum(length(block)) over (partition by t order by o, pos row
 def compaction_digest(spark: SparkSession, sf: str) -> DataFrame:
     m = messages(spark, sf).withColumn("role", F.expr(_ROLE.replace("turn", "pos"))).withColumn("name", F.lit("conv"))
     return E.digest(m, "t", 2000)
-
-
-@query(
-    """with a as (select source, doc_id, coalesce(text, '') as text, case when length(text) > 4000 then left(text, 4000) else coalesce(text, '') end c from documents),
-s as (select source t, sum(length(text)) // 4 tokens_before, sum(length(c)) // 4 tokens_after from a group by 1),
-e as (select s.t, b.text needle from s, benchmark b), r as (select t, count(*) evidence, count(*) filter (exists (select 1 from a where a.source = t and contains(lower(c), lower(needle)))) recalled from e group by 1)
-select s.t, cast(tokens_before as bigint) tokens_before, cast(tokens_after as bigint) tokens_after, evidence, recalled, cast(tokens_before - tokens_after as bigint) saved from s join r using (t)"""
-)
-def evidence_score(spark: SparkSession, sf: str) -> DataFrame:
-    """Of every source, cut to 4000 characters a document, which benchmark items survive."""
-    before = tool_messages(spark, sf)
-    after = before.withColumn("content", F.substring("content", 1, 4000))
-    sizes = before.groupBy("t").agg(F.floor(F.sum(F.length("content")) / 4).cast("long").alias("tokens_before"))
-    cut = after.groupBy("t").agg(F.floor(F.sum(F.length("content")) / 4).cast("long").alias("tokens_after"))
-    needles = table(spark, sf, "benchmark").select(F.col("item_id").alias("needle_id"), F.lower("text").alias("n"))
-    few = needles.agg(F.collect_list(F.struct("needle_id", "n")).alias("_n"), F.count("*").alias("evidence"))
-    finds = after.crossJoin(F.broadcast(few.select("_n"))).select("t", F.explode(F.expr("filter(transform(_n, x -> if(contains(lower(content), x.n), x.needle_id, null)), x -> x is not null)")).alias("i")).distinct()
-    hits = finds.groupBy("t").agg(F.count("*").alias("recalled"))
-    out = sizes.join(cut, "t").join(hits, "t", "left").crossJoin(F.broadcast(few.select("evidence")))
-    return out.select("t", "tokens_before", "tokens_after", "evidence", F.coalesce("recalled", F.lit(0)).cast("long").alias("recalled"), (F.col("tokens_before") - F.col("tokens_after")).alias("saved"))

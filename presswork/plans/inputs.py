@@ -2,30 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.tables import scratch, spread
 from ..operators import admit as A
 
-
-def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+__all__ = ["scratch"]  # with the tables, for the plans
 
 
-def scratch(spark: SparkSession) -> str:
-    """The folder that all executors share, as the session names it; one of our own only where it names none."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    own = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if where:
-        return where.rstrip("/")
-    if own.isDefined():
-        return own.get()
-    made = tempfile.mkdtemp(prefix="presswork-")
-    spark.sparkContext.setCheckpointDir(made)
-    return made
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(df) if name in ("documents", "conversations", "pages", "events") else df
 
 
 def tool_rows(spark: SparkSession, sf: str) -> DataFrame:
@@ -68,3 +57,90 @@ def tool_calls(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
         (F.col("event_type") == "error").alias("is_error"), (F.col("turn") + 1).alias("turn"),
     )
     return uses, results
+
+
+# Events as transcripts in both forms, with what real ones have: results without a call, calls without a result, repeated ids, long texts, errors, other roles.
+_SAID = "concat('turn ', event_id, ' ', repeat(concat(event_type, ' ', cast(k as string), ' and so on. '), if(event_id % 4 = 0, 40, 1)))"
+_NUMBERED = "row_number() over (partition by user_id order by ts, event_id)"
+
+
+def _numbered(spark: SparkSession, sf: str) -> DataFrame:
+    """Events with n, their number in the user's session, and k."""
+    return table(spark, sf, "events").select("user_id", "event_id", "event_type", F.get_json_object("props", "$.k").alias("k"), F.expr(_NUMBERED).cast("long").alias("n"))
+
+
+def bench_messages(spark: SparkSession, sf: str) -> DataFrame:
+    """t, pos, role, name, content, tool_call_id, tool_calls: three messages an event at most."""
+    e = _numbered(spark, sf)
+    name = F.create_map(*[F.lit(x) for kv in TOOLS.items() for x in kv])[F.col("event_type")]
+    call = F.struct(F.col("event_id").cast("string").alias("id"), F.coalesce(name, "event_type").alias("name"), F.create_map(F.when(name == "Bash", "command").otherwise("file_path"), F.col("k")).alias("arguments"))
+    none, kind = F.lit(None).cast("string"), "array<struct<id: string, name: string, arguments: map<string, string>>>"
+    user = F.col("event_id") % 10 == 0
+    first = F.struct(
+        (F.col("n") * 3).alias("pos"), F.when(user, "user").otherwise("assistant").alias("role"), F.lit("").alias("name"), F.expr(_SAID).alias("content"), none.alias("tool_call_id"),
+        F.when(~user & (F.col("event_id") % 7 != 3), F.array(call)).cast(kind).alias("tool_calls"),
+    )
+    result = F.expr("concat(if(event_type = 'error', 'error: ', 'value '), k, '\n', repeat('row of it\n', cast(event_id % 30 as int)))")
+    said = F.struct(
+        (F.col("n") * 3 + 1).alias("pos"), F.lit("tool").alias("role"), F.col("event_type").alias("name"), result.alias("content"),
+        F.when(F.col("event_id") % 9 == 0, F.concat(F.lit("x"), F.col("event_id").cast("string"))).otherwise(F.col("event_id").cast("string")).alias("tool_call_id"), F.lit(None).cast(kind).alias("tool_calls"),
+    )
+    again = F.struct(
+        (F.col("n") * 3 + 2).alias("pos"), F.when(F.col("event_id") % 11 == 0, "tool").otherwise("system").alias("role"), F.col("event_type").alias("name"), F.concat(F.lit("again "), "k").alias("content"),
+        F.col("event_id").cast("string").alias("tool_call_id"), F.lit(None).cast(kind).alias("tool_calls"),
+    )
+    some = F.array_compact(F.array(first, F.when(F.col("event_id") % 8 != 5, said), F.when((F.col("event_id") % 11 == 0) | (F.col("event_id") % 13 == 0), again)))
+    return e.select(F.col("user_id").alias("t"), F.explode(some).alias("m")).select("t", "m.*")
+
+
+def bench_sql() -> str:
+    """The same rows in DuckDB's SQL, as the table bm."""
+    name = "case event_type " + " ".join(f"when '{k}' then '{v}'" for k, v in TOOLS.items()) + " else event_type end"
+    said = "'turn ' || event_id || ' ' || repeat(event_type || ' ' || k || ' and so on. ', case when event_id % 4 = 0 then 40 else 1 end)"
+    return f"""ev as (select user_id t, event_id, event_type, json_extract_string(props, '$.k') k, cast({_NUMBERED} as bigint) n, {name} tool from events),
+bm as (
+  select t, n * 3 pos, case when event_id % 10 = 0 then 'user' else 'assistant' end role, '' as name, {said} as content, null tool_call_id,
+    case when event_id % 10 <> 0 and event_id % 7 <> 3 then cast(event_id as varchar) end call_id, tool, case when tool = 'Bash' then '' else k end path, k target from ev
+  union all select t, n * 3 + 1, 'tool', event_type, case when event_type = 'error' then 'error: ' else 'value ' end || k || chr(10) || repeat('row of it' || chr(10), cast(event_id % 30 as int)),
+    case when event_id % 9 = 0 then 'x' else '' end || event_id, null, null, null, null from ev where event_id % 8 <> 5
+  union all select t, n * 3 + 2, case when event_id % 11 = 0 then 'tool' else 'system' end, event_type, 'again ' || k, cast(event_id as varchar), null, null, null, null from ev where event_id % 11 = 0 or event_id % 13 = 0),
+bp as (select *, last_value(case when role <> 'tool' then role end ignore nulls) over (partition by t order by pos rows between unbounded preceding and 1 preceding) prev from bm),
+bt as (select *, case when role in ('user', 'assistant', 'tool') then cast(sum((role in ('user', 'assistant') or (role = 'tool' and coalesce(prev, '') not in ('user', 'assistant')))::int)
+  over (partition by t order by pos rows unbounded preceding) - 1 as bigint) end turn_id from bp)"""
+
+
+def api_messages(spark: SparkSession, sf: str) -> DataFrame:
+    """t, pos, role, content (VARIANT): a message with text, thinking and a call, and one with its result, an event; some contents are plain text."""
+    e = _numbered(spark, sf)
+    name = F.create_map(*[F.lit(x) for kv in TOOLS.items() for x in kv])[F.col("event_type")]
+    s = F.to_json
+    i = F.col("event_id").cast("string")
+    text = s(F.struct(F.lit("text").alias("type"), F.concat(F.lit(" said "), i, F.lit(" ")).alias("text")))
+    think = s(F.struct(F.lit("thinking").alias("type"), F.lit("hm").alias("thinking")))
+    use = s(F.struct(F.lit("tool_use").alias("type"), i.alias("id"), F.coalesce(name, "event_type").alias("name"), F.struct(F.col("k").alias("file_path")).alias("input")))
+    part = s(F.array(F.struct(F.lit("text").alias("type"), F.concat(F.lit("value "), "k").alias("text")), F.struct(F.lit("text").alias("type"), F.lit("").alias("text")), F.struct(F.lit("text").alias("type"), F.col("event_type").alias("text"))))
+    # a result now and then for an earlier event's id, or none that was called
+    to = F.when(F.col("event_id") % 9 == 0, F.concat(F.lit("x"), i)).otherwise(i)
+    result = F.concat(F.lit('{"type": "tool_result", "tool_use_id": "'), to, F.lit('", "is_error": '), (F.col("event_type") == "error").cast("string"), F.lit(', "content": '), part, F.lit("}"))
+    odd = F.lit('{"type": "document", "content": {"type": "text", "text": "inner"}}')
+    asked = F.when(F.col("event_id") % 10 == 0, F.to_json(F.array(F.concat(F.lit("plain "), i)))).otherwise(
+        F.concat(F.lit("["), F.array_join(F.array_compact(F.array(text, think, F.when(F.col("event_id") % 7 != 3, use), F.when(F.col("event_id") % 5 == 0, odd))), ", "), F.lit("]"))
+    )
+    told = F.concat(F.lit("["), F.array_join(F.array_compact(F.array(F.when(F.col("event_id") % 8 != 5, result), F.when(F.col("event_id") % 11 == 0, result), F.when(F.col("event_id") % 6 == 0, text))), ", "), F.lit("]"))
+    both = F.array(F.struct((F.col("n") * 2).alias("pos"), F.when(F.col("event_id") % 10 == 0, "system").otherwise("assistant").alias("role"), asked.alias("c")), F.struct((F.col("n") * 2 + 1).alias("pos"), F.lit("user").alias("role"), told.alias("c")))
+    return e.select(F.col("user_id").alias("t"), F.explode(both).alias("m")).select("t", "m.pos", "m.role", F.parse_json("m.c").alias("content"))
+
+
+def api_sql() -> str:
+    """What the blocks of those messages are, as the tables ab (blocks) and am (turns) in DuckDB's SQL."""
+    name = "case event_type " + " ".join(f"when '{k}' then '{v}'" for k, v in TOOLS.items()) + " else event_type end"
+    return f"""ae as (select user_id t, event_id, event_type, json_extract_string(props, '$.k') k, cast({_NUMBERED} as bigint) n, {name} tool from events),
+am as (select t, 2 * n - 2 turn_id, case when event_id % 10 = 0 then 'user' else 'assistant' end role, event_id from ae union all select t, 2 * n - 1, 'user', event_id from ae),
+ab as (
+  select t, 2 * n - 2 turn_id, 0 n, 'text' kind, case when event_id % 10 = 0 then 'plain ' || event_id else ' said ' || event_id || ' ' end as text, null id, null as name, null path, null as content, null is_error from ae
+  union all select t, 2 * n - 2, 1, 'thinking', null, null, null, null, null, null from ae where event_id % 10 <> 0
+  union all select t, 2 * n - 2, 2, 'tool_use', null, cast(event_id as varchar), tool, k, null, null from ae where event_id % 10 <> 0 and event_id % 7 <> 3
+  union all select t, 2 * n - 2, 3, 'text', 'inner', null, null, null, null, null from ae where event_id % 10 <> 0 and event_id % 5 = 0
+  union all select t, 2 * n - 1, 0, 'tool_result', null, case when event_id % 9 = 0 then 'x' else '' end || event_id, null, null, 'value ' || k || chr(10) || event_type, event_type = 'error' from ae where event_id % 8 <> 5
+  union all select t, 2 * n - 1, 1, 'tool_result', null, case when event_id % 9 = 0 then 'x' else '' end || event_id, null, null, 'value ' || k || chr(10) || event_type, event_type = 'error' from ae where event_id % 11 = 0
+  union all select t, 2 * n - 1, 2, 'text', ' said ' || event_id || ' ', null, null, null, null, null from ae where event_id % 6 = 0)"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import core, domains
+from . import composed, core, domains, files
 
-QUERIES = core.QUERIES | domains.QUERIES
-ORACLES = core.ORACLES | domains.ORACLES
+QUERIES = core.QUERIES | domains.QUERIES | composed.QUERIES | files.QUERIES
+ORACLES = core.ORACLES | domains.ORACLES | composed.ORACLES | files.ORACLES

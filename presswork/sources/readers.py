@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import filled, strip
+from ..operators.context import flatten
 
 ROLES = ["user", "assistant", "tool", "function", "system"]
 CALL_CHARS = 500
@@ -17,10 +18,19 @@ def _text(v: Column) -> Column:
     return F.coalesce(F.try_variant_get(v, "$", "string"), F.to_json(v))
 
 
+def documents(spark: SparkSession, path: str) -> DataFrame:
+    """transcript (the file) and v (VARIANT) of JSON files, one document each."""
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("transcript"), F.try_parse_json("value").alias("v"))
+
+
 def openai(spark: SparkSession, path: str) -> DataFrame:
-    """transcript, pos, role, name, content of files {"messages": [...]}. Function messages count as tool messages, which are called
+    """transcript, pos, role, name, content of files {"messages": [...]}, as ``openai_messages``."""
+    return openai_messages(documents(spark, path))
+
+
+def openai_messages(docs: DataFrame) -> DataFrame:
+    """transcript, pos, role, name, content of documents (transcript, v). Function messages count as tool messages, which are called
     "tool" without a name; other roles are dropped; missing content is the text None."""
-    docs = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("transcript"), F.try_parse_json("value").alias("v"))
     return explode_openai(docs.select("transcript", F.try_variant_get("v", "$.messages", "array<variant>").alias("m")))
 
 
@@ -37,14 +47,20 @@ def explode_openai(docs: DataFrame) -> DataFrame:
 
 
 def fleet(spark: SparkSession, path: str) -> DataFrame:
-    """agent_id, agent_ord, pos, role, name, content of files {"transcripts": {agent: {"messages": [...]} or [...]}}. Agents are ordered by name."""
-    docs = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("v"))
-    agents = docs.select(F.explode(F.try_variant_get("v", "$.transcripts", "map<string, variant>")).alias("transcript", "d"))
-    listed = F.coalesce(F.try_variant_get("d", "$.messages", "array<variant>"), F.try_variant_get("d", "$", "array<variant>"))
-    out = explode_openai(agents.select("transcript", listed.alias("m")))
-    order = F.dense_rank().over(Window.orderBy("transcript")) - 1  # one row per agent, a handful
-    names = agents.select("transcript").distinct().withColumn("agent_ord", order)
-    return out.join(F.broadcast(names), "transcript").withColumnRenamed("transcript", "agent_id")
+    """agent_id, agent_ord, pos, role, name, content of files {"transcripts": {agent: {"messages": [...]} or [...]}}, as ``fleet_messages``."""
+    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("transcript"), "value")
+    return fleet_messages(raw)
+
+
+def fleet_messages(raw: DataFrame) -> DataFrame:
+    """agent_id, agent_ord, pos, role, name, content of documents (transcript, value: JSON text). Agents are in the order in which the document names them."""
+    keys = F.json_object_keys(F.get_json_object("value", "$.transcripts"))
+    agents = raw.select("transcript", F.try_parse_json("value").alias("v"), F.posexplode(keys).alias("agent_ord", "agent_id"))
+    d = F.try_variant_get("v", "$.transcripts", "map<string, variant>")[F.col("agent_id")]
+    listed = F.coalesce(F.try_variant_get(d, "$.messages", "array<variant>"), F.try_variant_get(d, "$", "array<variant>"))
+    own = F.struct("transcript", "agent_id", "agent_ord")
+    out = explode_openai(agents.select(own.alias("transcript"), listed.alias("m")))
+    return out.select("transcript.agent_id", "transcript.agent_ord", "pos", "role", "name", "content")
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
@@ -54,9 +70,14 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def claude_jsonl(spark: SparkSession, path: str) -> DataFrame:
-    """transcript, pos, role, name, content of session logs, one entry a line. Lines that aren't JSON are skipped; listed content gives a row per
+    """transcript, pos, role, name, content of session logs, one entry a line, as ``claude_entries``."""
+    return claude_entries(_lines(spark, path))
+
+
+def claude_entries(lines: DataFrame) -> DataFrame:
+    """transcript, pos, role, name, content of lines (file, line, value). Lines that aren't JSON are skipped; listed content gives a row per
     block: calls as an assistant's note of up to 500 characters of input, results as tool messages, other blocks as text."""
-    v = _lines(spark, path).select("file", "line", F.try_parse_json("value").alias("v")).where("v is not null")
+    v = lines.select("file", "line", F.try_parse_json("value").alias("v")).where("v is not null")
     role = F.coalesce(F.try_variant_get("v", "$.message.role", "string"), F.try_variant_get("v", "$.type", "string"))
     blocks = F.try_variant_get("v", "$.message.content", "array<variant>")
     plain = F.when(F.schema_of_variant(F.try_variant_get("v", "$.message.content", "variant")) == "STRING", F.try_variant_get("v", "$.message.content", "string"))
@@ -76,32 +97,83 @@ def claude_jsonl(spark: SparkSession, path: str) -> DataFrame:
 
 
 def stream_json(spark: SparkSession, path: str) -> DataFrame:
-    """Event streams: assistant events as one message (texts joined), user events as a tool message per result block; others skipped."""
-    v = _lines(spark, path).select("file", "line", F.try_parse_json("value").alias("v")).where("v is not null")
+    """Event streams, one event a line, as ``stream_events``."""
+    return stream_events(_lines(spark, path))
+
+
+CALLS = "array<struct<id: string, name: string, arguments: map<string, string>>>"
+
+
+def stream_events(lines: DataFrame) -> DataFrame:
+    """transcript, pos, role, name, content, tool_call_id, tool_calls of lines (file, line, value): assistant events as one message (texts joined, null
+    without any, calls beside it), user events as a message per block, a tool message for a result; other events, and blocks without text, are skipped."""
+    v = lines.select("file", "line", F.try_parse_json("value").alias("v")).where("v is not null")
     kind = F.try_variant_get("v", "$.type", "string")
-    texts = F.filter(F.transform(F.try_variant_get("v", "$.message.content", "array<variant>"), lambda x: F.try_variant_get(x, "$.text", "string")), lambda x: x.isNotNull())
-    told = v.where(kind == "assistant").select("file", "line", F.lit(0).alias("n"), F.lit("assistant").alias("role"), F.array_join(texts, "\n").alias("content"))
-    b = v.where(kind == "user").select("file", "line", F.posexplode(F.try_variant_get("v", "$.message.content", "array<variant>")).alias("n", "b"))
-    got = b.select("file", "line", "n", F.when(F.try_variant_get("b", "$.type", "string") == "tool_result", "tool").otherwise("user").alias("role"),
-                   F.coalesce(F.try_variant_get("b", "$.content", "string"), F.try_variant_get("b", "$.text", "string"), F.to_json(F.try_variant_get("b", "$.content", "variant")), F.lit("")).alias("content"))
+    content = F.try_variant_get("v", "$.message.content", "variant")
+    blocks = F.coalesce(F.try_variant_get("v", "$.message.content", "array<variant>"), F.array().cast("array<variant>"))
+    tag = lambda x: F.try_variant_get(x, "$.type", "string")
+    said = lambda x: F.coalesce(F.try_variant_get(x, "$.text", "string"), F.lit(""))
+    texts = F.transform(F.filter(blocks, lambda x: (tag(x) == "text") & (said(x) != "")), said)
+    calls = F.transform(F.filter(blocks, lambda x: tag(x) == "tool_use"), lambda x: F.struct(
+        F.try_variant_get(x, "$.id", "string").alias("id"), F.try_variant_get(x, "$.name", "string").alias("name"),
+        F.coalesce(F.try_variant_get(x, "$.input", "map<string, string>"), F.create_map().cast("map<string, string>")).alias("arguments")))
+    none = F.lit(None).cast("string")
+    told = v.where(kind == "assistant").select(
+        "file", "line", F.lit(0).alias("n"), F.lit("assistant").alias("role"), F.lit("").alias("name"), F.when(F.size(texts) > 0, F.array_join(texts, "\n")).alias("content"),
+        none.alias("tool_call_id"), F.when(F.size(calls) > 0, calls).cast(CALLS).alias("tool_calls"),
+    )
+    user = v.where(kind == "user").select("file", "line", F.when(F.schema_of_variant(content).startswith("ARRAY"), blocks).otherwise(F.array(content)).alias("_b"))
+    b = user.select("file", "line", F.posexplode("_b").alias("n", "b"))
+    result = tag(F.col("b")) == "tool_result"
+    got = b.select(
+        "file", "line", "n", F.when(result, "tool").otherwise("user").alias("role"), F.when(result, F.coalesce(F.try_variant_get("b", "$.name", "string"), F.lit(""))).otherwise("").alias("name"),
+        F.when(result, flatten(F.try_variant_get("b", "$.content", "variant"))).otherwise(flatten(F.col("b"))).alias("content"),
+        F.when(result, F.coalesce(F.try_variant_get("b", "$.tool_use_id", "string"), F.lit(""))).alias("tool_call_id"), F.lit(None).cast(CALLS).alias("tool_calls"),
+    ).where((F.col("role") == "tool") | (F.col("content") != ""))
     out = told.unionByName(got)
-    return out.withColumn("pos", F.row_number().over(Window.partitionBy("file").orderBy("line", "n")).cast("long") - 1).select(F.col("file").alias("transcript"), "pos", "role", F.lit("").alias("name"), "content")
+    pos = F.row_number().over(Window.partitionBy("file").orderBy("line", "n")).cast("long") - 1
+    return out.withColumn("pos", pos).select(F.col("file").alias("transcript"), "pos", "role", "name", "content", "tool_call_id", "tool_calls")
 
 
 def any_transcript(spark: SparkSession, path: str) -> DataFrame:
-    """By the file's ending: session logs, or documents of messages."""
-    return claude_jsonl(spark, path) if path.endswith(".jsonl") else openai(spark, path)
+    """By the file's ending, and for documents by what they hold: session logs, documents of messages, or of a fleet's transcripts (with agent_id and agent_ord)."""
+    if path.endswith(".jsonl"):
+        return claude_jsonl(spark, path)
+    held = documents(spark, path).where(F.try_variant_get("v", "$.transcripts", "variant").isNotNull())
+    return openai(spark, path) if held.isEmpty() else fleet(spark, path)
+
+
+def request(body: DataFrame) -> DataFrame:
+    """pos, role, name, content of request bodies (transcript, value): a list of messages or {"messages": [...]}."""
+    v = body.select("transcript", F.try_parse_json("value").alias("v"))
+    return explode_openai(v.select("transcript", F.coalesce(F.try_variant_get("v", "$.messages", "array<variant>"), F.try_variant_get("v", "$", "array<variant>")).alias("m")))
+
+
+def rpc(lines: DataFrame) -> DataFrame:
+    """line, id, method, params (VARIANT) and error of JSON-RPC requests, one a line (line, value): -32700 for what isn't JSON, -32600 for what isn't a request. Blank lines are skipped."""
+    v = lines.where(filled("value")).select("line", F.try_parse_json("value").alias("v"))
+    method = F.try_variant_get("v", "$.method", "string")
+    return v.select("line", F.try_variant_get("v", "$.id", "string").alias("id"), method.alias("method"), F.try_variant_get("v", "$.params", "variant").alias("params"),
+                    F.when(F.col("v").isNull(), -32700).when(method.isNull(), -32600).alias("error"))
 
 
 def tool_log(spark: SparkSession, path: str) -> DataFrame:
-    """pos, name, text of a log of tool results; blank lines are skipped."""
-    d = _lines(spark, path).where(filled("value")).select("line", F.from_json("value", "name string, text string").alias("r"))
+    return tool_results(_lines(spark, path))
+
+
+def tool_results(lines: DataFrame) -> DataFrame:
+    """pos, name, text of a log of tool results (line, value); blank lines are skipped."""
+    d = lines.where(filled("value")).select("line", F.from_json("value", "name string, text string").alias("r"))
     return d.select(F.col("line").cast("long").alias("pos"), F.coalesce(F.nullif(F.col("r.name"), F.lit("")), F.lit("tool")).alias("name"), F.coalesce("r.text", F.lit("")).alias("text"))
 
 
 def tool_list(spark: SparkSession, path: str) -> DataFrame:
-    """pos, name, description, input_schema (JSON text), properties of a list of definitions, bare or under "tools"."""
-    v = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("v"))
+    return tool_definitions(spark.read.text(path, wholetext=True))
+
+
+def tool_definitions(raw: DataFrame) -> DataFrame:
+    """pos, name, description, input_schema (JSON text), properties of lists of definitions (value), bare or under "tools"."""
+    v = raw.select(F.try_parse_json("value").alias("v"))
     t = v.select(F.posexplode(F.coalesce(F.try_variant_get("v", "$.tools", "array<variant>"), F.try_variant_get("v", "$", "array<variant>"))).alias("pos", "t"))
     get = lambda k: F.coalesce(F.try_variant_get("t", f"$.{k}", "string"), F.lit(""))
     schema = F.to_json(F.try_variant_get("t", "$.input_schema", "variant"))
@@ -124,10 +196,15 @@ def annotations(spark: SparkSession, path: str, session: str | None = None) -> D
         lines = _lines(spark, path)
     except AnalysisException:
         return spark.createDataFrame([], "log_pos bigint, " + ANNOTATION)
-    d = lines.select("line", F.from_json("value", ANNOTATION).alias("r")).where("r.decision is not null").select(F.col("line").cast("long").alias("log_pos"), "r.*")
+    d = annotation_records(lines)
     return d if session is None else d.where(F.col("session_id") == session)
 
 
+def annotation_records(lines: DataFrame) -> DataFrame:
+    """log_pos and the fields of records (line, value: JSON); bad ones are skipped."""
+    return lines.select("line", F.from_json("value", ANNOTATION).alias("r")).where("r.decision is not null").select(F.col("line").cast("long").alias("log_pos"), "r.*")
+
+
 def hook_text(response: Column) -> Column:
     """The text of a hook's tool response (JSON): a string, a number, the first filled of the usual fields, else all text values; lists joined."""
     v = F.try_parse_json(response)

@@ -17,7 +17,8 @@ def test_openai_and_fleet(spark, tmp_path):
     assert got == [(0, "user", "", "hi"), (1, "tool", "tool", "None"), (3, "tool", "b", "out")]
     (tmp_path / "f.json").write_text(json.dumps({"transcripts": {"z": msgs[:1], "y": {"messages": msgs[3:]}}}))
     got = {(r["agent_id"], r["agent_ord"], r["content"]) for r in readers.fleet(spark, str(tmp_path / "f.json")).collect()}
-    assert got == {("z", 1, "hi"), ("y", 0, "out")}
+    assert got == {("z", 0, "hi"), ("y", 1, "out")}
+    assert "agent_ord" in readers.any_transcript(spark, str(tmp_path / "f.json")).columns
 
 
 def test_claude_jsonl(spark, tmp_path):
@@ -58,6 +59,48 @@ def test_holds_and_decisions(spark, tmp_path):
     assert readers.annotations(spark, str(tmp_path / "a"), "s").count() == 2 and readers.annotations(spark, str(tmp_path / "a"), "t").count() == 0
 
 
+def test_holds_of_a_repeated_batch(spark, tmp_path):
+    rows = spark.createDataFrame([("b", 0, "one"), ("b", 1, "two")], "name string, pos int, text string")
+    path = str(tmp_path / "h")
+    sinks.append_holds(spark, rows, path)
+    for batch in (0, 1, 1, 0):
+        new = sinks.append_holds(spark, rows, path, batch).orderBy("pos").collect()
+        assert [r["seq"] for r in new] == [3 + 2 * batch, 4 + 2 * batch]
+    assert sorted(r["seq"] for r in sinks.load_holds(spark, path).collect()) == [1, 2, 3, 4, 5, 6]
+
+
+def test_event_stream(spark, tmp_path):
+    events = [
+        {"type": "system"}, {"type": "assistant", "message": {"content": [{"type": "text", "text": "a"}, {"type": "tool_use", "id": "1", "name": "ls", "input": {"d": "/", "n": 2}}, {"type": "text", "text": "b"}]}},
+        {"type": "user", "message": {"content": [{"type": "tool_result", "tool_use_id": "1", "content": [{"type": "text", "text": "x"}, {"type": "image"}, {"type": "text", "text": "y"}]}, {"type": "text", "text": ""}, {"type": "doc", "content": "in"}]}},
+        {"type": "assistant", "message": {"content": []}}, {"type": "user", "message": {"content": "bare"}},
+    ]
+    (tmp_path / "e.jsonl").write_text("\n".join(map(json.dumps, events)))
+    got = readers.stream_json(spark, str(tmp_path / "e.jsonl")).orderBy("pos").collect()
+    assert [(r["role"], r["content"], r["tool_call_id"]) for r in got] == [("assistant", "a\nb", None), ("tool", "x\ny", "1"), ("user", "in", None), ("assistant", None, None), ("user", "bare", None)]
+    assert [(c["id"], c["name"], c["arguments"]) for c in got[0]["tool_calls"]] == [("1", "ls", {"d": "/", "n": "2"})] and got[3]["tool_calls"] is None
+
+
+def test_memory_streams_decide_as_batches(spark, tmp_path):
+    from presswork.operators import support, voice
+
+    say = "i would like to book a table for four people on friday evening please"
+    turns = [("c", 0, "user", say), ("c", 1, "user", "so " + say), ("d", 0, "user", say), ("c", 2, "agent", "mm hmm okay"), ("c", 3, "agent", "Just to confirm, what was the phone number"), ("d", 1, "agent", None)]
+    turns += [("e", i, "agent", t) for i, t in enumerate(["Please confirm your account number before we go on", "Your order number A-12345 has shipped today", "Please confirm your account number before we go on", "n" * 601, "Hello", "k" * 50, "k" * 50])]
+    src = str(tmp_path / "turns")
+    schema = "c string, pos long, role string, text string"
+    # turn after turn, each a batch
+    for pos in range(7):
+        spark.createDataFrame([t for t in turns if t[1] == pos], schema).coalesce(1).write.mode("append").parquet(src)
+    df = spark.createDataFrame(turns, schema)
+    live = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    for name, stream, batch in (("v", gate.voice_memory(live(), "c", "pos"), voice.judge(df, "c", "pos").withColumnRenamed("conv", "c")), ("s", gate.support_memory(live(), "c", "pos"), support.judge(df, "c", "pos"))):
+        q = stream.writeStream.format("memory").queryName("memory_" + name).outputMode("append").option("checkpointLocation", str(tmp_path / ("ck" + name))).trigger(availableNow=True).start()
+        q.awaitTermination()
+        rows = lambda d: sorted((r["c"], r["pos"], r["decision"], r["excerpt"] or "") for r in d.collect())
+        assert rows(spark.table("memory_" + name)) == rows(batch)
+
+
 def test_streams(spark, tmp_path):
     src = str(tmp_path / "src")
     spark.createDataFrame([("b", 0, "short"), ("b", 1, "x y\n" * 2000)], "name string, pos int, text string").coalesce(1).write.parquet(src)

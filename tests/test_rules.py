@@ -98,20 +98,66 @@ def test_near_pairs_and_clusters(spark):
         sets.append(s)
     df = spark.createDataFrame([(k, " ".join(sorted(s))) for k, s in enumerate(sets)], "pos int, text string")
     jac = lambda a, b: len(a & b) / len(a | b)
-    want = {(i, j) for i in range(60) for j in range(i + 1, 60) if jac(sets[i], sets[j]) >= 0.85}
+    first = {}
+    cls = [first.setdefault(frozenset(s), k) for k, s in enumerate(sets)]
+    heads = sorted(set(cls))
+    want = {(i, j) for i in heads for j in heads if i < j and jac(sets[i], sets[j]) >= 0.85}
     pairs = dedup.near_pairs(df, "pos")
     assert {(r["a"], r["b"]) for r in pairs.collect()} == want and want
+    assert {r["k"]: r["class"] for r in dedup.token_classes(df, "pos").collect()} == dict(enumerate(cls))
+    got = dedup.near_clusters(pairs, scratch(spark)).collect()
     reps, to = [], {}
-    for k, s in enumerate(sets):
-        best = max(((jac(sets[x], s), -x) for x in reps), default=(0, 0))
+    for k in heads:
+        best = max(((jac(sets[x], sets[k]), -x) for x in reps), default=(0, 0))
         if best[0] >= 0.85:
             to[k] = -best[1]
         else:
             reps.append(k)
-    got = dedup.near_clusters(pairs, scratch(spark)).collect()
     assert {r["k"]: r["rep"] for r in got} == to
 
 
+def test_collapse_is_the_sequential_rule(spark):
+    """Rows one after another against the representatives so far: equal forms first, else the nearest."""
+    r = random.Random(8)
+    base = [f"w{i}" for i in range(24)]
+    texts = []
+    for _ in range(90):
+        if texts and r.random() < 0.75:
+            words = r.choice(texts).split()
+            for _ in range(r.choice((0, 0, 1, 2))):
+                words[r.randrange(len(words))] = f"v{r.randint(0, 9)}"
+            texts.append(r.choice((" ", "  ", "\n")).join(words))
+        else:
+            texts.append(" ".join(r.sample(base, 20)) + f" end{len(texts)}")
+    texts += ["short one", "short one", None or ""]
+    jac = lambda a, b: len(a & b) / len(a | b)
+    reps, want = [], {}
+    for k, t in enumerate(texts):
+        if len(t) < 60:
+            continue
+        norm = " ".join(t.split())
+        same = next((x for x in reps if " ".join(texts[x].split()) == norm), None)
+        if same is not None:
+            want[k] = (same, "exact")
+            continue
+        best = max(((jac(set(t.split()), set(texts[x].split())), -x) for x in reps), default=(0, 0))
+        if best[0] >= 0.85:
+            want[k] = (-best[1], "near")
+        else:
+            reps.append(k)
+    df = spark.createDataFrame([(f"a{k % 3}", k, t) for k, t in enumerate(texts)], "agent string, pos int, text string")
+    got = {x["pos"]: x for x in dedup.collapse(df, "pos", scratch(spark)).collect()}
+    assert {k: (x["rep"], x["kind"]) for k, x in got.items() if x["kind"]} == want and {v[1] for v in want.values()} == {"exact", "near"}
+    assert all(x["content"] == texts[k] for k, x in got.items() if not x["kind"]) and len(got) == len(texts)
+
+
+def test_collapse_holds_what_is_cut(spark):
+    common = " ".join(f"w{i}" for i in range(400))
+    rows = [("a", 0, common), ("b", 1, common + "\n" + "z" * 5000)]
+    d = dedup.collapse(spark.createDataFrame(rows, "agent string, pos int, text string"), "pos", scratch(spark)).orderBy("pos").collect()
+    assert d[1]["kind"] == "near" and d[1]["cut"] and "similarity 1.00" in d[1]["content"] and len(d[1]["content"]) < 4200
+
+
 def test_admit(spark):
     rows = [("bash", 0, "x" * 2000), ("bash", 1, "x" * 2001), ("bash", 2, "y" * 3990 + " error " + "z" * 5000), ("bash", 3, "y" * 4001 + " error"), ("b", 4, "same\n" * 900), ("voice:x", 5, "q" * 3000), ("bash", 6, None)]
     d = admit.admit(spark.createDataFrame(rows, "name string, pos int, text string").withColumn("text", F.coalesce("text", F.lit("")))).orderBy("pos").collect()
