@@ -6,7 +6,6 @@ A text is first searched for the literals of which every match holds one, which
 from __future__ import annotations
 
 import functools
-import operator
 from collections.abc import Iterable
 
 from pyspark.sql import Column
@@ -72,8 +71,9 @@ class Pattern:
         """Whether the pattern may occur: false only where it doesn't."""
         if self.needs is None:
             return F.lit(True)
-        low = F.lower(F.translate(c, "ſıİ", "sii"))
-        return functools.reduce(operator.or_, [F.contains(low, F.lit(x)) for x in self.needs])
+        words = F.array(*[F.lit(x) for x in self.needs])
+        # exists over an array of one names the lower-cased text, so that it is made once; the odd letters match s and i in any case
+        return F.exists(F.array(F.lower(c)), lambda low: F.exists(words, lambda w: F.contains(low, w))) | c.rlike("[ſıİ]")
 
     def __call__(self, c: Column) -> Column:
         return self.may(c) & c.rlike(self.java) if self.needs else c.rlike(self.java)

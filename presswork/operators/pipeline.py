@@ -55,14 +55,18 @@ def judge(steps: DataFrame, run: str, order: str, name: str = "name", text: str
     def told(d: DataFrame) -> DataFrame:
         d = d.withColumn("_full", (F.length(text) <= FULL_CHARS) | P.STEP_ERROR(t)).withColumn("_raw", F.when(~F.col("_full"), raw_lines(t)))
         d = d.withColumn("_idle", F.coalesce((F.size("_raw") > 0) & F.forall("_raw", lambda x: P.PROGRESS(x) | P.BANNER(x)), F.lit(False)))
-        may = ~F.col("_full") & ~F.col("_idle") & P.SCHEMA.may(t)
-        return d.withColumn("_key", F.when(may, schema_key(lines(t))))
+        # lines with whether they tell of a schema, each asked once
+        d = d.withColumn("_l", F.when(~F.col("_full") & ~F.col("_idle"), F.transform(lines(t), lambda x: F.struct(x.alias("x"), P.SCHEMA(x).alias("s")))))
+        found = F.transform(F.filter("_l", lambda x: x["s"]), lambda x: x["x"])
+        return d.withColumn("_key", F.when(F.size(found) > 0, F.sha2(squash_lower(F.array_join(F.array_sort(found), "\n")), 256)))
 
     keyed = told(steps.where(P.SCHEMA.may(t)).select(run, order, text)).where("_key is not null")
     first = keyed.groupBy(run, "_key").agg(F.min(order).alias("_first"))
     d = told(steps).join(first, [run, "_key"], "left")
     open_ = ~F.col("_full") & ~F.col("_idle")
-    d = d.withColumn("_sig", F.when(open_ & (P.METRIC.may(t) | P.SCHEMA.may(t)), signal_lines(lines(t))).otherwise(F.array().cast("array<string>")))
+    # of an open step no line tells of an error, as then its text would
+    told_lines = F.transform(F.filter("_l", lambda x: x["s"] | P.METRIC(x["x"])), lambda x: x["x"])
+    d = d.withColumn("_sig", F.coalesce(told_lines, F.array().cast("array<string>")))
     d = d.withColumn("_pat", F.when(open_, pattern_stats(F.col("_raw"))))
     seen, bare = F.coalesce(F.col(order) > F.col("_first"), F.lit(False)), F.size("_sig") == 0
     folded = F.coalesce((F.col("_pat.top") >= 6) & (F.col("_pat.kinds") <= 3), F.lit(False))
@@ -78,7 +82,7 @@ def judge(steps: DataFrame, run: str, order: str, name: str = "name", text: str
         d.withColumn("_note", note)
         .withColumn("decision", F.when(F.col("_full"), "keep_full").when(F.col("_note").isNotNull(), "notice").otherwise("keep_excerpt"))
         .withColumn("excerpt", F.when(F.col("_full"), F.col(text)).when(F.col("_note").isNotNull(), F.col("_note")).otherwise(part))
-        .drop("_raw", "_full", "_idle", "_key", "_first", "_sig", "_pat", "_note")
+        .drop("_raw", "_full", "_idle", "_l", "_key", "_first", "_sig", "_pat", "_note")
     )
 
 

@@ -126,13 +126,18 @@ def pipeline_steps(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("run", "pos", "decision", F.sha1("excerpt").alias("excerpt_sha"))
 
 
+_DDL = "coalesce(text, '') || case when doc_id % 3 = 0 then chr(10) || 'create table t' || cast(doc_id % 4 as varchar(9)) || chr(10) || case when doc_id % 2 = 0 then 'a bigint' || chr(10) || 'b varchar' else 'b varchar' || chr(10) || 'a bigint' end else '' end"
+
+
 @query(
-    f"""with a as (select doc_id, source, {q_lines("coalesce(text, '')")} ls from documents), b as (select *, list_filter(ls, lambda y: {P.SCHEMA.sql('y')}) sc from a),
+    f"""with a as (select doc_id, source, {q_lines(_DDL)} ls from documents), b as (select *, list_filter(ls, lambda y: {P.SCHEMA.sql('y')}) sc from a),
 k as (select doc_id, source, len(sc) n_schema, lower({q_squash("array_to_string(list_sort(sc), chr(10))")}) k from b where len(sc) > 0)
 select doc_id, n_schema, row_number() over (partition by source, k order by doc_id) > 1 seen from k"""
 )
 def schema_repeats(spark: SparkSession, sf: str) -> DataFrame:
-    ls = lines(F.coalesce("text", F.lit("")))
+    """Documents with a table's definition after every third text, in one of four forms and either order of its columns."""
+    said = F.expr(_DDL.replace("varchar(9)", "string"))
+    ls = lines(said)
     d = table(spark, sf, "documents").select("doc_id", "source", pipeline.schema_key(ls).alias("k"), F.size(F.filter(ls, lambda x: P.SCHEMA(x))).cast("long").alias("n_schema")).where("k is not null")
     first = d.groupBy("source", "k").agg(F.min("doc_id").alias("f"))
     return d.join(first, ["source", "k"]).select("doc_id", "n_schema", (F.col("doc_id") > F.col("f")).alias("seen"))
