@@ -9,7 +9,7 @@ the Jaccard of the shingle sets on the texts.
 beginning of the next document's, in descending doc_id. Ids, row places and sizes alone are sorted first, and cut into blocks of
 ``BLOCK_BYTES`` of text by (id, place), so one id or none at all is cut like any others. A block also gets the first row of the one after it, so
 texts are shuffled once and no task sees more than a block. The blocks' first rows, 16 bytes for each ``BLOCK_BYTES`` of the
-corpus (25 MB for 100 TB), are what the driver and the workers hold.
+corpus (50 MB for 100 TB), are what the driver and the workers hold.
 
 Defined cases: a null text counts as empty; a text without words has the fingerprint of no shingles,
 which is like itself alone; null ids come last; rows with equal ids follow each other in table order; of one row
@@ -34,7 +34,7 @@ from .shingles import shingles
 
 COMPONENTS, BANDS, ROWS, THRESHOLD = 128, 32, 4, 0.8
 #: Bytes of text that one task puts in order and fingerprints.
-BLOCK_BYTES = 64 << 20
+BLOCK_BYTES = 32 << 20
 
 _rng = np.random.default_rng(20240601)
 _A = _rng.integers(0, 1 << 64, COMPONENTS, np.uint64)[:, None]
@@ -205,7 +205,7 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
 
     placed = rows.withColumn("seats", seats(F.coalesce("doc_id", F.lit(0)), F.col("doc_id").isNull(), "row")).select(F.posexplode("seats").alias("last", "block"), "doc_id", "row", "text")
     return (
-        placed.repartition("block").sortWithinPartitions("block", "last", *order)
+        placed.repartitionById(len(heads), F.col("block").cast("int")).sortWithinPartitions("block", "last", *order)  # a block is a task
         .select("block", "doc_id", "text").mapInArrow(_walk, _OUT)
     )
 
