@@ -29,6 +29,8 @@ from .shingles import mix
 BANDS, ROWS, THRESHOLD = 32, 5, 0.8
 #: Points are drawn up to the time by which the chance of an empty component is exp(-SURE) or so.
 SURE = 2.0
+#: Points that are drawn in one pass where fewer processes are left.
+DRAWN = 4096
 
 
 def bag_sketch(x: np.ndarray, w: np.ndarray, n: np.ndarray, m: int = BANDS * ROWS) -> np.ndarray:
@@ -54,30 +56,37 @@ def bag_sketch(x: np.ndarray, w: np.ndarray, n: np.ndarray, m: int = BANDS * ROW
         lim, rate, sd = limit[owner[at[live]]], size[live], seed[live]
         lo, wt, own = low[live], w[at[live]].astype(np.float64), owner[at[live]]
         while len(t):
-            h = mix(sd + np.uint64(0xD1B54A32D192ED03 * (k + 1) & 0xFFFFFFFFFFFFFFFF))
-            t = t - np.log(((h >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) / rate
-            on = t < lim
-            if not on.all():
-                t, lim, rate, sd, lo, wt, own, h = (v[on] for v in (t, lim, rate, sd, lo, wt, own, h))
+            # where few are left, as of a text of few shingles, many points of each are drawn at once
+            block = max(1, DRAWN // len(t))
+            step = np.uint64(0xD1B54A32D192ED03) * np.arange(k + 1, k + 1 + block, dtype=np.uint64)
+            h = mix(sd[:, None] + step)
+            gaps = np.log(((h >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) / rate[:, None]
+            np.negative(gaps, out=gaps)
+            gaps[:, 0] += t
+            till = np.cumsum(gaps, 1)
+            on = till < lim[:, None]
+            at_, h, ts = np.nonzero(on)[0], h[on], till[on]
             g = mix(h ^ np.uint64(0xA24BAED4963EE407))
-            seen = lo + rate * ((g >> np.uint64(32)).astype(np.float64) * 2.0**-32) < wt
+            seen = lo[at_] + rate[at_] * ((g >> np.uint64(32)).astype(np.float64) * 2.0**-32) < wt[at_]
             part = ((g & np.uint64(0xFFFFFFFF)) * np.uint64(m)) >> np.uint64(32)
-            slot = own * m + part.astype(np.int64)
+            slot = own[at_] * m + part.astype(np.int64)
             if seen.all():
-                slots.append(slot), times.append(t), marks.append(h)
+                slots.append(slot), times.append(ts), marks.append(h)
             else:
-                slots.append(slot[seen]), times.append(t[seen]), marks.append(h[seen])
-            k += 1
+                slots.append(slot[seen]), times.append(ts[seen]), marks.append(h[seen])
+            go = on[:, -1]
+            t, lim, rate, sd, lo, wt, own = (v[go] for v in (till[:, -1], lim, rate, sd, lo, wt, own))
+            k += block
         slot, time, mark = np.concatenate(slots), np.concatenate(times), np.concatenate(marks)
-        order = np.lexsort((time, slot))
-        slot, mark = slot[order], mark[order]
-        first = np.ones(len(slot), bool)
-        first[1:] = slot[1:] != slot[:-1]
+        best = np.full(texts * m, np.inf)
+        np.minimum.at(best, slot, time)
+        won = np.flatnonzero(time == best[slot])[::-1]  # of equal times the first drawn is written last
+        slot, mark = slot[won], mark[won]
         filled = np.zeros(texts * m, bool)
-        filled[slot[first]] = True
+        filled[slot] = True
         whole = filled.reshape(texts, m).all(1) & todo
         flat = np.zeros(texts * m, np.uint32)
-        flat[slot[first]] = (mark[first] >> np.uint64(16)).astype(np.uint32)
+        flat[slot] = (mark >> np.uint64(16)).astype(np.uint32)
         out[whole] = flat.reshape(texts, m)[whole]
         todo &= ~whole
         stretch *= 2

@@ -58,10 +58,12 @@ class Scheme:
         return t - SIGMAS * float(np.sqrt(t * (1 - t) / (self.bands * self.rows)))
 
 
-def _hash_rows(values: np.ndarray, salt: int) -> np.ndarray:
-    h = np.full(values.shape[0], salt, np.uint64)
-    for k in range(values.shape[1]):
-        h = mix(h ^ values[:, k].astype(np.uint64)) + np.uint64(0x9E3779B97F4A7C15)
+def _hash_bands(sig: np.ndarray, bands: int) -> np.ndarray:
+    """A key for each band of each signature."""
+    values = sig.reshape(len(sig), bands, -1).astype(np.uint64)
+    h = np.tile(np.arange(1, bands + 1, dtype=np.uint64), (len(sig), 1))
+    for k in range(values.shape[2]):
+        h = mix(h ^ values[:, :, k]) + np.uint64(0x9E3779B97F4A7C15)
     return mix(h)
 
 
@@ -80,7 +82,7 @@ def _signed(scheme: Scheme) -> Callable[[pa.RecordBatch], dict[str, object]]:
             np.add.at(total, owner, mix(counted ^ np.uint64(salt)))
             sums.append(mix(total + weight.astype(np.uint64) if scheme.multiset else total).view(np.int64))
         sig = scheme.sketch(x, w, n)
-        keys = np.stack([_hash_rows(sig[:, b * scheme.rows : (b + 1) * scheme.rows], b + 1) for b in range(scheme.bands)], 1).view(np.int64)
+        keys = _hash_bands(sig, scheme.bands).view(np.int64)
         keys = keys[n > 0]  # a text without shingles has its equals already
         short = (sig & 255).astype(np.uint8)
         return {
