@@ -78,11 +78,52 @@ class MergeTable:
         self.inner = {k: t for k, t in self.inner.items() if self.whole(t)}
         self.final = {k: t for k, t in self.final.items() if self.whole(t)} if self.suffix else self.inner
         self.longest = max(self.length)
-        #: The longest token with these last four bytes; with any others there are but short ones.
-        self._tails: dict[bytes, int] = {}
-        for raw in self.inner:
-            if len(raw) > 3:
-                self._tails[raw[-4:]] = max(len(raw), self._tails.get(raw[-4:], 0))
+        self._automaton()
+
+    def _automaton(self) -> None:
+        """The tokens that end at a byte, longest first, are those of a state: the longest beginning of a token that ends there.
+        States are the nodes of a trie, and one that has no edge for a byte takes that of its longest own end."""
+        edges: dict[int, int] = {}  # (state, byte) to state
+        parent, byte, mine, marked = [0], [0], [0], [0]  # a token and one, so that 0 is none
+        for raws, own in ((self.inner, mine), (self.final, marked)):
+            for raw, token in raws.items():
+                state = 0
+                for c in raw:
+                    to = edges.get(state << 8 | c)
+                    if to is None:
+                        to = edges[state << 8 | c] = len(parent)
+                        parent.append(state), byte.append(c), mine.append(0), marked.append(0)
+                    state = to
+                own[state] = token + 1
+        size = len(parent)
+        self._fail, self._go, self._most = [0] * size, edges, len(edges) + PAIRS
+        #: By state, (token, its bytes) inside a word, and of those that carry the mark at its end.
+        self._ends: list[tuple] = [()] * size
+        self._marked: list[tuple] = [()] * size
+        depth = [0] * size
+        for state in range(1, size):
+            depth[state] = depth[parent[state]] + 1
+        for state in sorted(range(1, size), key=depth.__getitem__):
+            at, c = parent[state], byte[state]
+            if at:
+                fail = self._fail[at]
+                while (to := edges.get(fail << 8 | c)) is None and fail:
+                    fail = self._fail[fail]
+                self._fail[state] = to or 0
+            for ends, own in ((self._ends, mine), (self._marked, marked)):
+                ends[state] = ends[self._fail[state]]
+                if own[state]:
+                    ends[state] = ((own[state] - 1, depth[state]), *ends[state])
+
+    def _step(self, state: int, c: int) -> int:
+        """The state after one without an edge for the byte."""
+        fail = state
+        while (to := self._go.get(fail << 8 | c)) is None and fail:
+            fail = self._fail[fail]
+        to = to or 0
+        if len(self._go) < self._most:
+            self._go[state << 8 | c] = to
+        return to
 
     def may_follow(self, a: int, b: int) -> bool:
         """Whether the text of ``a`` and ``b`` together encodes as just ``a, b``.
@@ -135,24 +176,27 @@ class MergeTable:
         """Add the last tokens of the prefixes that end in ``data`` beyond ``last``. ``data[0]`` is
         byte ``base`` of the word and ``last[0]`` belongs to it; of what came before, at least
         ``longest`` bytes are kept, so no token can begin there."""
-        low = 1 if base else 0
-        known, tails, inner = self._pairs, self._tails, self.inner.get
-        stop = len(data)
-        for end in range(len(last) + 1, stop + 1):
+        known, go, ends, longest = self._pairs, self._go, self._ends, self.longest
+        at, stop, state = len(last), len(data), 0
+        for c in data[max(0, at - longest) : at]:
+            to = go.get(state << 8 | c)
+            state = self._step(state, c) if to is None else to
+        for end in range(at + 1, stop + 1):
+            c = data[end - 1]
+            to = go.get(state << 8 | c)
+            state = self._step(state, c) if to is None else to
             if closed and end == stop and self.suffix:
-                find, reach = self.final.get, self.longest
-            else:
-                find, reach = inner, tails.get(data[end - 4 : end], 3)
-            for start in range(max(low, end - reach), end):
-                token = find(data[start:end])
-                if token is not None:
-                    if not start:
-                        break
-                    fits = known.get(last[start - 1] << 20 | token)
-                    if fits is None:
-                        fits = self.may_follow(last[start - 1], token)
-                    if fits:
+                ends = self._marked
+            for token, n in ends[state]:
+                if n == end:
+                    if not base:
                         break
+                    continue
+                fits = known.get(last[end - n - 1] << 20 | token)
+                if fits is None:
+                    fits = self.may_follow(last[end - n - 1], token)
+                if fits:
+                    break
             else:
                 token = -1
             last.append(token)

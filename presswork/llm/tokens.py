@@ -67,7 +67,7 @@ _NEW_LETTER, _NEW_LETTERS, _NEW_OTHERS = _kinds(rf"(?:(?![{NEW_LETTERS}])\p{{L}}
 
 
 def is_new(text: str) -> bool:
-    return not text.isascii() and _NEW.search(text) is not None
+    return not text.isascii() and max(text) >= NEW_LETTERS[0] and _NEW.search(text) is not None
 
 
 @lru_cache(maxsize=4)
@@ -77,15 +77,19 @@ def merge_table(path: str) -> MergeTable:
 
 
 class Memo(dict):
-    """Remembers answers for short words; forgets all of them when full."""
+    """Remembers answers for short words. When half the limit is reached they become the older half, and what was older
+    and not asked for since is forgotten."""
 
     def __init__(self, answer, limit: int = WORDS):
-        self.answer, self.limit = answer, limit
+        self.answer, self.half, self.older = answer, limit // 2, {}
 
     def __missing__(self, word):
-        value = self.answer(word)
+        value = self.older.get(word)
+        if value is None:
+            value = self.answer(word)
         if len(word) <= WORD_CHARS:
-            if len(self) >= self.limit:
+            if len(self) >= self.half:
+                self.older = dict(self)
                 self.clear()
             self[word] = value
         return value
@@ -120,9 +124,8 @@ class WordTransducer:
 
     def word(self, raw: bytes) -> list[int]:
         """A whole word, fed piece by piece."""
-        whole = self.m.final.get(raw)  # its own encoding, so nothing to settle
-        if whole is not None:
-            return [whole]
+        if len(raw) <= FEED:  # fed at once, so nothing to settle
+            return self.m.encode_word(raw)
         self.start()
         out = []
         for at in range(0, len(raw) - FEED, FEED):

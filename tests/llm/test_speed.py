@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
-from presswork.llm import bagminhash, shingles
+from presswork.llm import bagminhash, shingles, tokens
+from presswork.llm.queries import tokenizer_path
 
 
 def test_words_are_those_of_split():
@@ -43,3 +44,28 @@ def test_near_hashes_words_at_once(monkeypatch):
     shingles._HASH.clear()
     shingles.bags([f"unheard{k} of{k}" for k in range(50)] + ["v" * 40])
     assert asked == [b"v" * 40]
+
+
+def test_words_are_encoded_by_tokens_that_end_not_by_trying_slices(monkeypatch):
+    """A word costs look-ups of the tokens that do end at a byte; before, one of each slice that might be a token."""
+    merges = tokens.merge_table(tokenizer_path("word_bpe_49k.json"))
+    asked = []
+
+    class Told(dict):
+        def get(self, key, default=None):
+            asked.append(key)
+            return super().get(key, default)
+
+    monkeypatch.setattr(merges, "inner", Told(merges.inner))
+    monkeypatch.setattr(merges, "final", Told(merges.final))
+    raw = b"thonenoushingenandereation"
+    assert len(merges.ends(raw)) == len(raw) and not asked
+
+
+def test_words_asked_for_again_outlast_a_full_memory():
+    """Before, a full memory forgot all words, frequent ones too."""
+    answered = []
+    memo = tokens.Memo(lambda w: answered.append(w) or w.upper(), 10)
+    for k in range(40):
+        assert memo["often"] == "OFTEN" and memo[f"rare{k}"] == f"RARE{k}"
+    assert answered.count("often") == 1 and len(memo) + len(memo.older) <= 10
