@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from presswork.llm import bagminhash, shingles, tokens
+from presswork.llm import bagminhash, shingles, suffix, tokens
 from presswork.llm.queries import tokenizer_path
 
 
@@ -69,3 +69,23 @@ def test_words_asked_for_again_outlast_a_full_memory():
     for k in range(40):
         assert memo["often"] == "OFTEN" and memo[f"rare{k}"] == f"RARE{k}"
     assert answered.count("often") == 1 and len(memo) + len(memo.older) <= 10
+
+
+def test_windows_that_equal_no_other_are_not_sorted(monkeypatch):
+    """Before, all windows of a block were sorted by 64 bytes each."""
+    sorted_ = []
+    plain = suffix._ranks
+    monkeypatch.setattr(suffix, "_ranks", lambda words: sorted_.append(len(words[0])) or plain(words))
+    bodies = [np.random.default_rng(k).integers(0, 256, 400, np.uint8).tobytes() for k in range(20)]
+    label, count = suffix.first_equal(bodies)
+    assert not sorted_ and (label == np.arange(20 * 301)).all()
+    label, count = suffix.first_equal([*bodies, bodies[3][50:170]])
+    assert max(sorted_) <= 42 * 6 and label[-21:].tolist() == list(range(3 * 301 + 50, 3 * 301 + 71))
+
+
+def test_runs_are_marked_once(spark):
+    """Three parts of the plan read the marks; before, each sorted all runs again."""
+    texts = ["one two " * 40, "other", None, "one two " * 30 + "end"]
+    df = suffix.repeat_digest(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert "_mark(" not in df._jdf.queryExecution().toString()
+    assert {r["doc_id"]: r["n_removed"] > 0 for r in df.collect()} == {0: True, 1: False, 2: False, 3: True}
