@@ -107,12 +107,12 @@ def join_chars(text: Column) -> Column:
     return F.greatest(F.lit(1), F.floor((F.coalesce(F.sum(F.length(text)), F.lit(0)) + F.count("*") - 1) / 4)).cast("long")
 
 
-def run_stats(run: DataFrame, keys: list[str], decisions: list[str], text: str = "text", out: str = "out") -> DataFrame:
+def run_stats(run: DataFrame, keys: list[str], decisions: list[str], text: str = "text", out: str = "out", more: list[Column] | None = None) -> DataFrame:
     """Per run: rows, counts of each decision, held rows, characters and tokens in and out."""
     counts = [F.count_if(F.col("decision") == d).alias(d) for d in decisions]
     sizes = [F.coalesce(F.sum(F.length(c)), F.lit(0)).cast("long").alias(n) for c, n in ((text, "chars_in"), (out, "chars_out"))]
     tokens_ = [join_chars(F.col(c)).alias(n) for c, n in ((text, "tokens_in"), (out, "tokens_out"))]
-    aggs = [F.count("*").alias("n"), *counts, F.count("ref").alias("held"), *sizes, *tokens_]
+    aggs = [F.count("*").alias("n"), *counts, F.count("ref").alias("held"), *sizes, *tokens_, *(more or [])]
     return run.groupBy(*keys).agg(*aggs) if keys else run.agg(*aggs)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
+from ..functions.tables import written
 from ..functions.text import filled, lines, squash_lower
 from . import admit as A
 
@@ -86,9 +87,11 @@ def judge(steps: DataFrame, run: str, order: str, name: str = "name", text: str
     )
 
 
-def squeeze(steps: DataFrame, run: str, order: str, name: str = "name", text: str = "text") -> DataFrame:
-    """Steps of runs with decision, ref (of all that isn't kept in full, numbered per run and name) and out, the text with its reference."""
-    d = A.with_refs(judge(steps, run, order, name, text), F.col("decision") != "keep_full", F.col(name), [run], order)
+def squeeze(steps: DataFrame, run: str, order: str, name: str = "name", text: str = "text", folder: str | None = None) -> DataFrame:
+    """Steps of runs with decision, ref (of all that isn't kept in full, numbered per run and name) and out, the text with its reference. With a shared
+    ``folder`` the judged steps are written there, so they are judged once, not again for the numbers."""
+    judged = judge(steps, run, order, name, text)
+    d = A.with_refs(written(judged, folder, "judged") if folder else judged, F.col("decision") != "keep_full", F.col(name), [run], order)
     return d.withColumn("out", F.when(F.col("ref").isNull(), F.col("excerpt")).otherwise(F.concat("excerpt", F.lit("\n[held:"), "ref", F.lit("]"))))
 
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
-from ..functions.text import lines, squash_lower
+from ..functions.tables import written
+from ..functions.text import lines, named, squash_lower
 from . import admit as A
 
 FULL_CHARS = 800
@@ -19,39 +23,41 @@ def keywords(task: str) -> list[str]:
 
 
 def hits(line: Column, words: Column) -> Column:
-    low = F.lower(line)
-    return F.size(F.filter(words, lambda k: F.contains(low, k)))
+    return named(F.lower(line), lambda low: F.size(F.filter(words, lambda k: F.contains(low, k))))
 
 
 def is_signal(line: Column, words: Column) -> Column:
     n = F.length(line)
-    return (line.rlike(r"\p{Nd}") & (n > 25)) | P.QUOTED(line) | (P.LINK(line) & (n < 160)) | ((hits(line, words) >= 2) & (n > 20))
+    return ((n > 25) & line.rlike(r"\p{Nd}")) | P.QUOTED(line) | ((n < 160) & P.LINK(line)) | ((n > 20) & (hits(line, words) >= 2))
 
 
 def judge(pages: DataFrame, task: str, cited: list[str] | None = None, text: str = "text") -> DataFrame:
-    """Adds decision and ``kept`` (kept line numbers, from 0). Quotes that are cited keep their lines; a page that would lose all keeps the line with most task words."""
+    """Adds decision and ``kept`` (kept line numbers, from 0). Quotes that are cited keep their lines; a page that would lose all keeps the line with most task words.
+    Lines, decision and kept numbers are named, so a page is cut into lines once, and not again for each line kept."""
     words = F.array(*[F.lit(w) for w in keywords(task)]).cast("array<string>")
-    quotes = F.array(*[F.lit(q) for q in (cited or []) if q]).cast("array<string>")
-    d = pages.withColumn("_l", lines(F.coalesce(F.col(text), F.lit(""))))
-    ls = F.col("_l")
-    notice = (F.size(ls) == 0) | F.exists(F.slice(ls, 1, 5), lambda x: P.ERROR_PAGE(x)) | F.forall(ls, lambda x: P.BOILERPLATE(x))
+    quotes = [F.lit(q) for q in (cited or []) if q]
     full = F.length(text) <= FULL_CHARS
 
     def stays(x: Column) -> Column:
-        quoted = F.exists(quotes, lambda q: F.contains(x, q))
-        return quoted | (~P.BOILERPLATE(x) & ~P.NOISE(F.regexp_replace(x, P.REPLY.java, "")) & is_signal(x, words))
-
-    picked = F.filter(F.transform(ls, lambda x, i: F.when(stays(x), i)), lambda i: i.isNotNull())
-    # most hits, earliest line
-    best = F.array_max(F.transform(ls, lambda x, i: F.struct(hits(x, words).alias("h"), (-i).alias("i"))))["i"]
-    kept = F.when(F.size("_k") > 0, F.col("_k")).otherwise(F.array(-best))
-    out = d.withColumn("_n", notice).withColumn("_f", full).withColumn("_k", F.when(~notice & ~full, picked))
-    return (
-        out.withColumn("decision", F.when(F.col("_n"), "notice").when(F.col("_f"), "keep_full").otherwise("keep_quotes"))
-        .withColumn("kept", F.when(F.col("_n"), F.array().cast("array<int>")).when(F.col("_f"), F.transform(ls, lambda x, i: i)).otherwise(kept))
-        .withColumn("excerpt", F.array_join(F.transform("kept", lambda i: F.get(ls, i)), "\n"))
-        .drop("_l", "_n", "_f", "_k")
-    )
+        quoted = functools.reduce(operator.or_, [F.contains(x, q) for q in quotes], F.lit(False))
+        return quoted | (is_signal(x, words) & ~P.BOILERPLATE(x) & ~P.NOISE(F.regexp_replace(x, P.REPLY.java, "")))
+
+    def numbers(ls: Column) -> Column:
+        picked = F.filter(F.transform(ls, lambda x, i: F.when(stays(x), i)), lambda i: i.isNotNull())
+        # most hits, earliest line
+        best = F.array_max(F.transform(ls, lambda x, i: F.struct(hits(x, words).alias("h"), (-i).alias("i"))))["i"]
+        return named(picked, lambda k: F.when(F.size(k) > 0, k).otherwise(F.array(-best)))
+
+    def told(ls: Column) -> Column:
+        notice = (F.size(ls) == 0) | F.exists(F.slice(ls, 1, 5), lambda x: P.ERROR_PAGE(x)) | F.forall(ls, lambda x: P.BOILERPLATE(x))
+        none = F.array().cast("array<int>")
+        kept = lambda how: F.when(how == "notice", none).when(how == "keep_full", F.transform(ls, lambda x, i: i)).otherwise(numbers(ls))
+        excerpt = lambda k: F.array_join(F.transform(k, lambda i: F.get(ls, i)), "\n")
+        decided = F.when(notice, "notice").when(full, "keep_full").otherwise("keep_quotes")
+        return named(decided, lambda how: named(kept(how), lambda k: F.struct(how.alias("decision"), k.alias("kept"), excerpt(k).alias("excerpt"))))
+
+    d = pages.withColumn("_j", named(lines(F.coalesce(F.col(text), F.lit(""))), told))
+    return d.select(*pages.columns, "_j.decision", "_j.kept", "_j.excerpt")
 
 
 def duplicates(pages: DataFrame, key: str = "pos", url: str = "url", text: str = "text") -> DataFrame:
@@ -62,12 +68,14 @@ def duplicates(pages: DataFrame, key: str = "pos", url: str = "url", text: str =
     return keyed.join(first, "_h", "left").withColumn("dup_of", F.when(F.col(key) != F.col(f"_f.{key}"), F.col(f"_f.{url}"))).drop("_h", "_f")
 
 
-def squeeze(pages: DataFrame, task: str, cited: list[str] | None = None, key: str = "pos", url: str = "url", text: str = "text") -> DataFrame:
+def squeeze(pages: DataFrame, task: str, cited: list[str] | None = None, key: str = "pos", url: str = "url", text: str = "text", folder: str | None = None) -> DataFrame:
     """Pages of a corpus (key in their order, url, text) with dup_of, decision, lines_kept, lines_total, ref (numbered per url, of all that isn't kept in full) and out:
-    the excerpt under a line that says what was left out."""
-    told = duplicates(judge(pages.withColumn(text, F.coalesce(text, F.lit(""))), task, cited, text), key, url, text)
+    the excerpt under a line that says what was left out. With a shared ``folder`` the judged pages are written there, so they are judged once, not again for the numbers."""
+    pages = pages.withColumn(text, F.coalesce(text, F.lit("")))
+    judged = judge(pages, task, cited, text).withColumn("lines_total", F.size(lines(text)).cast("long"))
+    told = duplicates(written(judged, folder, "judged") if folder else judged, key, url, text)
     dup = F.col("dup_of").isNotNull()
-    d = told.withColumn("decision", F.when(dup, "notice").otherwise(F.col("decision"))).withColumn("lines_total", F.size(lines(text)).cast("long"))
+    d = told.withColumn("decision", F.when(dup, "notice").otherwise(F.col("decision")))
     d = d.withColumn("lines_kept", F.when(dup, 0).otherwise(F.size("kept")).cast("long"))
     d = A.with_refs(d, F.col("decision") != "keep_full", F.col(url), [], key)
     n, m = F.col("lines_kept").cast("string"), F.col("lines_total").cast("string")
@@ -80,5 +88,4 @@ def squeeze(pages: DataFrame, task: str, cited: list[str] | None = None, key: st
 
 
 def stats(squeezed: DataFrame, text: str = "text") -> DataFrame:
-    d = A.run_stats(squeezed, [], ["keep_full", "keep_quotes", "notice"], text).drop("tokens_out")
-    return d.crossJoin(squeezed.agg(F.count("dup_of").alias("duplicates")))  # a row each
+    return A.run_stats(squeezed, [], ["keep_full", "keep_quotes", "notice"], text, more=[F.count("dup_of").alias("duplicates")]).drop("tokens_out")

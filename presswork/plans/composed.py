@@ -251,13 +251,13 @@ r as (select s.*, ref, excerpt || case when ref is null then '' else chr(10) ||
 
 @query(STEPS + " select run, pos, decision, ref, sha1(o) out_sha from r")
 def pipeline_run(spark: SparkSession, sf: str) -> DataFrame:
-    d = pipeline.squeeze(tool_rows(spark, sf).withColumnRenamed("agent", "run"), "run", "pos")
+    d = pipeline.squeeze(tool_rows(spark, sf).withColumnRenamed("agent", "run"), "run", "pos", folder=scratch(spark))
     return d.select("run", "pos", "decision", "ref", F.sha1("out").alias("out_sha"))
 
 
 @query(f"{STEPS} select * replace (greatest(1, chars_in // 4) as tokens_in, greatest(1, chars_out // 4) as tokens_out) from ({_stats('run,', ['keep_full', 'keep_excerpt', 'notice'], 'r')} group by run)")
 def pipeline_stats(spark: SparkSession, sf: str) -> DataFrame:
-    return pipeline.stats(pipeline.squeeze(tool_rows(spark, sf).withColumnRenamed("agent", "run"), "run", "pos"), "run")
+    return pipeline.stats(pipeline.squeeze(tool_rows(spark, sf).withColumnRenamed("agent", "run"), "run", "pos", folder=scratch(spark)), "run")
 
 
 RESEARCH = _last(domains.RESEARCH, "s", "text, len(ls) lines_total, ") + f""",
@@ -277,13 +277,13 @@ def _pages(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(RESEARCH + " select doc_id pos, decision, dup_of, cast(n_kept as bigint) lines_kept, cast(lines_total as bigint) lines_total, ref, sha1(o) out_sha from r")
 def research_run(spark: SparkSession, sf: str) -> DataFrame:
-    d = research.squeeze(_pages(spark, sf), domains.TASK, domains.CITED)
+    d = research.squeeze(_pages(spark, sf), domains.TASK, domains.CITED, folder=scratch(spark))
     return d.select("pos", "decision", "dup_of", "lines_kept", "lines_total", "ref", F.sha1("out").alias("out_sha"))
 
 
 @query(f"{RESEARCH} select * exclude (tokens_out), (select count(dup_of) from r) duplicates from ({_stats('', ['keep_full', 'keep_quotes', 'notice'], 'r', text=chr(34) + 'text' + chr(34))})")
 def research_stats(spark: SparkSession, sf: str) -> DataFrame:
-    return research.stats(research.squeeze(_pages(spark, sf), domains.TASK, domains.CITED))
+    return research.stats(research.squeeze(_pages(spark, sf), domains.TASK, domains.CITED, folder=scratch(spark)))
 
 
 def _voice(spark: SparkSession, sf: str) -> DataFrame:
