@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import patterns as P
-from ..functions.text import all_lines, lines, strip
+from ..functions.text import all_lines, lines, named, strip
 
 
 def uniqueness(chunked: DataFrame) -> DataFrame:
@@ -38,12 +38,13 @@ def boilerplate(chunked: DataFrame, transcript: str, order: list[str], noise: P.
 
 
 def contains_any(chunk: Column, needles: Column) -> Column:
-    return F.exists(needles, lambda n: F.contains(F.lower(chunk), F.lower(n)))
+    """Whether the chunk holds any of the needles (in lower case); the chunk is lowered once, not again for every needle."""
+    return named(F.lower(chunk), lambda low: F.exists(needles, lambda n: F.contains(low, n)))
 
 
 def evidence(chunked: DataFrame, needles: DataFrame, found: float = 0.95, lost: float = 0.05) -> DataFrame:
     """A perfect judge: chunks that hold any of the needles. The needles, a parameter of few rows, go as one array."""
-    all_needles = needles.agg(F.collect_list("needle").alias("_needles"))
+    all_needles = needles.agg(F.collect_list(F.lower("needle")).alias("_needles"))
     return chunked.crossJoin(F.broadcast(all_needles)).withColumn("p", F.when(contains_any(F.col("chunk"), F.col("_needles")), found).otherwise(lost)).drop("_needles")
 
 
