@@ -46,10 +46,10 @@ def digest(messages: DataFrame, transcript: str, budget: int = 4000, cut: int =
 
 def score(before: DataFrame, after: DataFrame, evidence: DataFrame, key: str) -> DataFrame:
     """Per input (key): size before and after in tokens, evidence strings (key, needle_id, needle) and those that some message still holds, in any case, and what was saved. Evidence is joined to an
-    input's messages, so a string is looked for in its own input only; finds are few, messages never gathered."""
+    input's messages, so a string is looked for in its own input only; finds are few, messages never gathered by input (the strings, parameters of few rows, are broadcast)."""
     size = lambda df, name: df.groupBy(key).agg(F.floor(F.sum(F.length("content")) / 4).cast("long").alias(name))
     lists = evidence.groupBy(key).agg(F.collect_list(F.struct("needle_id", F.lower("needle").alias("n"))).alias("_n"), F.count("*").alias("evidence"))
-    low = after.select(key, F.lower("content").alias("_t")).join(lists.select(key, "_n"), key)
+    low = after.select(key, F.lower("content").alias("_t")).join(F.broadcast(lists.select(key, "_n")), key)
     finds = low.select(key, F.explode(F.expr("filter(_n, x -> contains(_t, x.n))")).alias("_f")).select(key, "_f.needle_id").distinct()
     hits = finds.groupBy(key).agg(F.count("*").alias("recalled"))
     out = size(before, "tokens_before").join(size(after, "tokens_after"), key).join(lists.drop("_n"), key, "left").join(hits, key, "left")
