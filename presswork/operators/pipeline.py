@@ -48,9 +48,10 @@ def pattern_stats(ls: Column) -> Column:
     return F.aggregate(ls, start, add, lambda acc: F.struct(F.size(acc["k"]).alias("kinds"), F.when(F.size(acc["k"]) <= 3, F.array_max(acc["n"])).alias("top")))
 
 
-def judge(steps: DataFrame, run: str, order: str, name: str = "name", text: str = "text") -> DataFrame:
+def judge(steps: DataFrame, run: str, order: str, name: str = "name", text: str = "text", folder: str | None = None) -> DataFrame:
     """Adds decision and excerpt. A schema counts as seen if an earlier step of the run with that schema got as far: a minimum
-    per (run, schema), joined back. Texts without a schema's words aren't looked at for it, errors and short texts not for patterns."""
+    per (run, schema), joined back. Texts without a schema's words aren't looked at for it, errors and short texts not for patterns.
+    With a shared ``folder`` what is told of each text by itself is written there, so it is told once."""
     t = F.col(text)
 
     def told(d: DataFrame) -> DataFrame:
@@ -61,20 +62,26 @@ def judge(steps: DataFrame, run: str, order: str, name: str = "name", text: str
         found = F.transform(F.filter("_l", lambda x: x["s"]), lambda x: x["x"])
         return d.withColumn("_key", F.when(F.size(found) > 0, F.sha2(squash_lower(F.array_join(F.array_sort(found), "\n")), 256)))
 
-    keyed = told(steps.where(P.SCHEMA.may(t)).select(run, order, text)).where("_key is not null")
+    def asked(d: DataFrame) -> DataFrame:
+        # of an open step no line tells of an error, as then its text would
+        told_lines = F.transform(F.filter("_l", lambda x: x["s"] | P.METRIC(x["x"])), lambda x: x["x"])
+        d = told(d).withColumn("_sig", F.coalesce(told_lines, F.array().cast("array<string>")))
+        return d.withColumn("_pat", F.when(~F.col("_full") & ~F.col("_idle"), pattern_stats(F.col("_raw")))).withColumn("_lines", F.size("_raw")).drop("_raw", "_l")
+
+    each = asked(steps)
+    if folder:
+        each = written(each, folder, "told")
+        keyed = each.where("_key is not null").select(run, order, "_key")
+    else:
+        keyed = told(steps.where(P.SCHEMA.may(t)).select(run, order, text)).where("_key is not null")
     first = keyed.groupBy(run, "_key").agg(F.min(order).alias("_first"))
-    d = told(steps).join(first, [run, "_key"], "left")
-    open_ = ~F.col("_full") & ~F.col("_idle")
-    # of an open step no line tells of an error, as then its text would
-    told_lines = F.transform(F.filter("_l", lambda x: x["s"] | P.METRIC(x["x"])), lambda x: x["x"])
-    d = d.withColumn("_sig", F.coalesce(told_lines, F.array().cast("array<string>")))
-    d = d.withColumn("_pat", F.when(open_, pattern_stats(F.col("_raw"))))
+    d = each.join(first, [run, "_key"], "left")
     seen, bare = F.coalesce(F.col(order) > F.col("_first"), F.lit(False)), F.size("_sig") == 0
     folded = F.coalesce((F.col("_pat.top") >= 6) & (F.col("_pat.kinds") <= 3), F.lit(False))
     n = F.col(name)
     note = (
         F.when(F.col("_full"), None)
-        .when(F.col("_idle"), F.concat(F.lit("["), n, F.lit(": "), F.size("_raw").cast("string"), F.lit(" progress/heartbeat lines]")))
+        .when(F.col("_idle"), F.concat(F.lit("["), n, F.lit(": "), F.col("_lines").cast("string"), F.lit(" progress/heartbeat lines]")))
         .when(seen, F.concat(F.lit("["), n, F.lit(": schema identical to earlier step]")))
         .when(~folded & bare, F.concat(F.lit("["), n, F.lit(": no metrics/schema/errors]")))
     )
@@ -83,15 +90,14 @@ def judge(steps: DataFrame, run: str, order: str, name: str = "name", text: str
         d.withColumn("_note", note)
         .withColumn("decision", F.when(F.col("_full"), "keep_full").when(F.col("_note").isNotNull(), "notice").otherwise("keep_excerpt"))
         .withColumn("excerpt", F.when(F.col("_full"), F.col(text)).when(F.col("_note").isNotNull(), F.col("_note")).otherwise(part))
-        .drop("_raw", "_full", "_idle", "_l", "_key", "_first", "_sig", "_pat", "_note")
+        .select(*steps.columns, "decision", "excerpt")
     )
 
 
 def squeeze(steps: DataFrame, run: str, order: str, name: str = "name", text: str = "text", folder: str | None = None) -> DataFrame:
     """Steps of runs with decision, ref (of all that isn't kept in full, numbered per run and name) and out, the text with its reference. With a shared
-    ``folder`` the judged steps are written there, so they are judged once, not again for the numbers."""
-    judged = judge(steps, run, order, name, text)
-    d = A.with_refs(written(judged, folder, "judged") if folder else judged, F.col("decision") != "keep_full", F.col(name), [run], order)
+    ``folder`` texts are judged once, not again for the numbers."""
+    d = A.with_refs(judge(steps, run, order, name, text, folder), F.col("decision") != "keep_full", F.col(name), [run], order)
     return d.withColumn("out", F.when(F.col("ref").isNull(), F.col("excerpt")).otherwise(F.concat("excerpt", F.lit("\n[held:"), "ref", F.lit("]"))))
 
 
